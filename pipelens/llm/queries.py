@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pipelens.llm import langid, line_dedup, mixing, simhash
+from pipelens.llm import gif, langid, line_dedup, mixing, simhash
 from pipelens.llm._shared import table
 
 QUERIES = {
     "op3_mixing": lambda spark, d: mixing.placed(spark, table(spark, d, "documents")),
+    "op5_gif_media": lambda spark, d: gif.as_media(table(spark, d, "documents")),
     "op7_language_id": lambda spark, d: langid.classify(spark, table(spark, d, "documents")),
     "op9_simhash": lambda spark, d: simhash.near_dups(spark, table(spark, d, "documents")),
     "op10_line_dedup": lambda spark, d: line_dedup.digest(spark, table(spark, d, "documents")),
