@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pipelens.llm import gif, langid, line_dedup, mixing, simhash
+from pipelens.llm import gif, langid, line_dedup, mixing, sentencepiece_ops, simhash
 from pipelens.llm._shared import table
 
 QUERIES = {
+    "op2_sentencepiece": lambda spark, d: sentencepiece_ops.digests(spark, table(spark, d, "documents")),
     "op3_mixing": lambda spark, d: mixing.placed(spark, table(spark, d, "documents")),
     "op5_gif_media": lambda spark, d: gif.as_media(table(spark, d, "documents")),
     "op7_language_id": lambda spark, d: langid.classify(spark, table(spark, d, "documents")),
