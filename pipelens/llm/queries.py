@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pipelens.llm import gif, langid, line_dedup, mixing, sentencepiece_ops, simhash
+from pipelens.llm import chat, gif, langid, line_dedup, mixing, sentencepiece_ops, simhash
 from pipelens.llm._shared import table
 
 QUERIES = {
     "op2_sentencepiece": lambda spark, d: sentencepiece_ops.digests(spark, table(spark, d, "documents")),
     "op3_mixing": lambda spark, d: mixing.placed(spark, table(spark, d, "documents")),
+    "op4_chat_format": lambda spark, d: chat.formatted_digest(spark, table(spark, d, "conversations")),
     "op5_gif_media": lambda spark, d: gif.as_media(table(spark, d, "documents")),
     "op7_language_id": lambda spark, d: langid.classify(spark, table(spark, d, "documents")),
     "op9_simhash": lambda spark, d: simhash.near_dups(spark, table(spark, d, "documents")),
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_chat_format": chat.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
