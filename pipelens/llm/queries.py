@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pipelens.llm import chat, gif, langid, line_dedup, mixing, sentencepiece_ops, simhash
+from pipelens.llm import chat, gif, langid, line_dedup, mixing, sentencepiece_ops, simhash, warc
 from pipelens.llm._shared import table
 
 QUERIES = {
@@ -11,11 +11,13 @@ QUERIES = {
     "op4_chat_format": lambda spark, d: chat.formatted_digest(spark, table(spark, d, "conversations")),
     "op5_gif_media": lambda spark, d: gif.as_media(table(spark, d, "documents")),
     "op7_language_id": lambda spark, d: langid.classify(spark, table(spark, d, "documents")),
+    "op8_warc": lambda spark, d: warc.round_trip(spark, table(spark, d, "pages")),
     "op9_simhash": lambda spark, d: simhash.near_dups(spark, table(spark, d, "documents")),
     "op10_line_dedup": lambda spark, d: line_dedup.digest(spark, table(spark, d, "documents")),
 }
 
 ORACLE = {
     "op4_chat_format": chat.ORACLE,
+    "op8_warc": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
