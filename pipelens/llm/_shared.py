@@ -70,3 +70,27 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def col(name: str):
     """The top-level column of this very name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def tidy(f):
+    """f over Arrow batches; when it is done, its worker gives freed memory back, as it may idle beside the next one."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _trim()
+
+    return run
+
+
+def _trim() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        return

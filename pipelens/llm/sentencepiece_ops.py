@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from pipelens.llm._shared import col, fresh, materialise
+from pipelens.llm._shared import col, fresh, materialise, tidy
 
 SPACE = "▁"
 MODEL = os.path.join(os.environ.get("PIPELENS_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
 BYTE_SCORE = -1e12  # below every path of pieces
 BLOCK = 32 << 20  # characters that share one dictionary in a worker's memory
+CACHE = 120_000  # words of a block that are kept joined
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -40,7 +41,6 @@ class Pieces:
     scores: list[float]
     normal: list[int]
     byte_ids: list[int]
-    prefix: bool = True
     merges: bool = False  # merged in rank order instead of scored by path
     pairs: frozenset = field(default_factory=frozenset)
 
@@ -56,53 +56,68 @@ class Pieces:
         own = [i for i in range(n) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
         names = [sp.id_to_piece(i) for i in range(n)]
         byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        if spec.normalizer_spec.precompiled_charsmap or spec.normalizer_spec.remove_extra_whitespaces or not all(map(sp.is_byte, byte_ids)):
-            raise ValueError("only models with byte pieces and without normalisation rules are supported")
-        return cls(names, [sp.get_score(i) for i in range(n)], own, byte_ids, spec.normalizer_spec.add_dummy_prefix, spec.trainer_spec.model_type == spec.trainer_spec.BPE).indexed()
+        if spec.normalizer_spec.precompiled_charsmap or spec.normalizer_spec.remove_extra_whitespaces or not spec.normalizer_spec.add_dummy_prefix or not all(map(sp.is_byte, byte_ids)):
+            raise ValueError("only models with byte pieces and a space before the text, without normalisation rules, are supported")
+        return cls(names, [sp.get_score(i) for i in range(n)], own, byte_ids, spec.trainer_spec.model_type == spec.trainer_spec.BPE).indexed()
 
     def indexed(self) -> Pieces:
         self.pairs = frozenset(p[i : i + 2] for p in (self.pieces[k] for k in self.normal) for i in range(len(p) - 1))
+        chars = sorted({c for p in self.pairs for c in p})
+        number = {c: i + 1 for i, c in enumerate(chars)}
+        self._kind = np.zeros(0x110000, np.uint16)
+        self._kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self._spanned = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for p in self.pairs:
+            self._spanned[number[p[0]], number[p[1]]] = True
         return self
 
     @property
     def longest(self) -> int:
         return max((len(self.pieces[i]) for i in self.normal), default=1)
 
-    def escaped(self, text: str) -> str:
-        return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
-
-    def units(self, word: str) -> list[str]:
-        out, start, pairs = [], 0, self.pairs
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in pairs:
-                out.append(word[start:i])
-                start = i
-        out.append(word[start:])
-        return out
+    def units(self, words: list[str]) -> tuple[list[str], list[int]]:
+        """The units of all words in a row, and where each word's units end. All words are cut at once: characters
+        that stand in a pair have small numbers."""
+        flat, ends = SPACE + SPACE.join(words), np.cumsum([len(w) + 1 for w in words])
+        kind = self._kind[np.frombuffer(flat.encode("utf-32-le", "replace"), "<u4")]
+        cut = np.flatnonzero(~self._spanned[kind[:-1], kind[1:]]) + 1
+        cuts = np.union1d(cut, ends)
+        places = (np.searchsorted(cuts, ends) + 1).tolist()
+        cuts = cuts.tolist()
+        return [flat[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], places
+
+    def decode_all(self, ids: list) -> list[str]:
+        """The texts of lists of ids. Unknown and control pieces stand for nothing; broken byte runs for U+FFFD. The
+        pieces' bytes are gathered for all lists at once."""
+        sizes = [len(x) for x in ids]
+        flat = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in ids)])
+        n = self._size[flat]
+        ends = np.cumsum(n)
+        at = np.repeat(self._at[flat] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        raw, cuts = self._flat[at].tobytes(), np.concatenate([[0], ends])[np.cumsum([0, *sizes])].tolist()
+        out = [raw[a:b].decode("utf-8", "replace").replace(SPACE, " ") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [t[1:] if t[:1] == " " else t for t in out]
 
     def decode(self, ids) -> str:
-        """The text of a list of ids. Unknown and control pieces stand for nothing; broken byte runs for U+FFFD."""
-        table = self._table
-        if (low := np.asarray(ids)).size and not self._is_byte[low].any():
-            text = "".join([table[i] for i in ids])
-        else:
-            text = b"".join([table[i].encode() if i not in self._byte else self._byte[i] for i in ids]).decode("utf-8", "replace")
-        text = text.replace(SPACE, " ")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        return self.decode_all([ids])[0]
 
     def __post_init__(self):
         normal = set(self.normal)
-        self._table = [p if i in normal else "" for i, p in enumerate(self.pieces)]
-        self._byte = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
-        self._is_byte = np.isin(np.arange(len(self.pieces)), self.byte_ids)
+        raw = [p.encode() if i in normal else b"" for i, p in enumerate(self.pieces)]
+        for b, i in enumerate(self.byte_ids):
+            raw[i] = bytes([b])
+        self._size = np.array([len(r) for r in raw])
+        self._at, self._flat = np.cumsum(self._size) - self._size, np.frombuffer(b"".join(raw), np.uint8)
 
 
-def words_of(pieces: Pieces, text: str) -> list[str]:
-    s = pieces.escaped(text)
-    if s[:1] == SPACE or not s:
-        return _WORD.findall(s)
-    head = s.split(SPACE, 1)[0]
-    return [head, *_WORD.findall(s[len(head) :])]
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, each without its first space mark; the mark before the text is implied."""
+    if not text:
+        return []
+    words = text.split(" ")
+    if "" in words:  # runs of spaces stay together
+        return [w[1:] for w in _WORD.findall(SPACE + text.replace(" ", SPACE))]
+    return words
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -114,7 +129,7 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     spans = starts.select("unit", "start", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length(unit) - start + 1))")).alias("n"))
     edges = spans.select("unit", (F.col("start") + F.col("n") - 1).alias("end"), "n", F.expr("substring(unit, start, n)").alias("piece")).join(F.broadcast(table), "piece", "left")
     edges = edges.where("id is not null or n = 1")  # a unit without any piece keeps its place
-    grouped = edges.groupBy("unit").agg(F.collect_list(F.struct((F.col("end") - F.col("n")).alias("a"), F.col("end").alias("b"), "id", "score")).alias("edges"))
+    grouped = edges.groupBy(F.xxhash64("unit").alias("h"), "unit").agg(F.collect_list(F.struct((F.col("end") - F.col("n")).alias("a"), F.col("end").alias("b"), "id", "score")).alias("edges"))
     folded = _merge_fold(grouped) if pieces.merges else _viterbi_fold(grouped)
     return folded.select("unit", "ids")
 
@@ -130,17 +145,20 @@ def _viterbi_fold(grouped: DataFrame) -> DataFrame:
 
 
 def _merge_fold(grouped: DataFrame) -> DataFrame:
-    """Merge tables: of the edges that join two neighbouring parts, that with the best score (ties: the leftmost) is
-    taken, again and again. ends[i] is where the part that starts at i ends, 0 if none starts there."""
-    fold = """aggregate(sequence(1, length(unit)), struct(transform(sequence(1, length(unit) + 1), i -> if(i > length(unit), 0, i)) as ends, true as more), (s, step) ->
-        if(not s.more, s, transform(array(array_max(transform(
-            filter(wide, x -> s.ends[x.a] > 0 and s.ends[x.a] < x.b and s.ends[s.ends[x.a]] = x.b),
-            x -> struct(x.score as score, -x.a as left, x.b as b)))),
-          best -> if(best is null, struct(s.ends as ends, false as more),
-            struct(transform(s.ends, (v, i) -> case when i = -best.left then best.b when i > -best.left and i < best.b then 0 else v end) as ends, true as more)))[0]), s -> s.ends)"""
-    ids = "transform(filter(sequence(0, length(unit) - 1), i -> ends[i] > 0), i -> coalesce(filter(edges, x -> x.a = i and x.b = ends[i])[0].id, -1))"
-    wide = grouped.select("unit", "edges", F.expr("filter(edges, x -> x.b > x.a + 1)").alias("wide"))
-    return wide.select("unit", "edges", F.expr(fold).alias("ends")).select("unit", F.expr(ids).alias("ids"))
+    """Merge tables: edges are tried from the best score down (ties: from the left), and one is taken if just two
+    parts make it up. A piece's parts have better scores than the piece, so one pass suffices. The state is where
+    parts begin: bits of a number for units of up to 62 characters, else an array of ends (0: none begins here)."""
+    bits = """aggregate(wide, shiftleft(1L, length(unit) + 1) - 1L, (s, x) ->
+        if((s & x.ab) = x.ab and bit_count(s & x.inner) = 1, s & ~x.inner, s))"""
+    short = f"""transform(array({bits}), s -> transform(filter(sort_array(edges), x ->
+        (s & (shiftleft(1L, x.a) | shiftleft(1L, x.b))) = (shiftleft(1L, x.a) | shiftleft(1L, x.b)) and (s & (shiftleft(1L, x.b) - shiftleft(2L, x.a))) = 0), x -> coalesce(x.id, -1)))[0]"""
+    ends = """aggregate(wide, transform(sequence(1, length(unit) + 1), i -> if(i > length(unit), 0, i)), (s, x) ->
+        if(s[x.a] > 0 and s[x.a] < x.b and s[s[x.a]] = x.b, transform(s, (v, i) -> case when i = x.a then x.b when i > x.a and i < x.b then 0 else v end), s))"""
+    long = f"transform(array({ends}), s -> transform(filter(sort_array(edges), x -> s[x.a] = x.b), x -> coalesce(x.id, -1)))[0]"
+    # the numbers are worked out for short units only: a shift by 63 or more would wrap
+    wide = """sort_array(transform(filter(edges, x -> x.b > x.a + 1), x -> struct(-x.score as rank, x.a as a, x.b as b,
+        shiftleft(1L, x.a) | shiftleft(1L, x.b) as ab, shiftleft(1L, x.b) - shiftleft(2L, x.a) as inner)))"""
+    return grouped.select("unit", "edges", F.expr(wide).alias("wide")).select("unit", F.expr(f"if(length(unit) <= 62, {short}, {long})").alias("ids"))
 
 
 def _same_twice(df: DataFrame) -> bool:
@@ -183,97 +201,125 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_out: str
             yield base + block, b
 
     def name_units(batches):
-        now, seen, words = None, set(), set()
+        now, words = None, set()
         for block, b in blocks(batches, 0):
             if block != now:
-                yield from flush(now, seen, words)
-                now, seen, words = block, set(), set()
-            for t in b.column(0).to_pylist():
-                if t:
-                    words.update(words_of(pieces, t))
-        yield from flush(now, seen, words)
-
-    def flush(block, seen, words):
-        for w in words:
-            seen.update(pieces.units(w))
+                yield from flush(now, words)
+                now, words = block, set()
+            for i in range(0, len(b), 512):
+                for t in b.column(0).slice(i, 512).to_pylist():
+                    if t:
+                        words.update(words_of(t))
+        yield from flush(now, words)
+
+    def flush(block, words):
+        words, seen = list(words), set()
+        for i in range(0, len(words), 20_000):
+            seen.update(pieces.units(words[i : i + 20_000])[0])
         units = list(seen)
         for i in range(0, len(units), 50_000):
             part = units[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part, pa.string())], names=["block", "unit"])
 
-    def pack(batches):
+    def squeeze(table):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+            w.write(table)
+        return sink.getvalue().to_pybytes()
+
+    def row(block, late, table):
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([late]), pa.array([squeeze(table)], pa.binary())], names=["block", "late", "packed"])
+
+    def pack_texts(batches):
         for block, b in blocks(batches, place):
-            for i in range(0, len(b), 256):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_batch(b.slice(i, 256))
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "packed"])
+            for i in range(0, len(b), 512):
+                yield row(block, True, b.slice(i, 512))
+
+    def pack_entries(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            if n > 300_000:
+                yield from by_block(held)
+                held, n = [], 0
+        yield from by_block(held)
+
+    def by_block(held):
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        t = t.take(np.argsort(t.column("block").to_numpy(), kind="stable"))
+        block = t.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for a, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if e > a:
+                yield row(int(block[a]), False, t.select(["unit", "ids"]).slice(a, e - a).combine_chunks())
 
     def meet(batches):
         now, known, words = None, {}, {}
         for b in batches:
-            blocks_, units, ids, packed = (b.column(i) for i in range(4))
-            offsets, flat, units = ids.offsets.to_numpy(), ids.values.to_pylist(), units.to_pylist()
-            offsets = offsets.tolist()
-            for r, block in enumerate(blocks_.to_pylist()):
+            for r, (block, late) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 if block != now:
                     now, known, words = block, {}, {}
-                if units[r] is not None:
-                    known[units[r]] = flat[offsets[r] : offsets[r + 1]]
-                else:
-                    with pa.ipc.open_stream(packed[r].as_py()) as s:
-                        for batch in s:
-                            yield finish(batch, known, words)
-
-    def ids_of(word, known):
-        out = []
-        for u in pieces.units(word):
-            ids = known[u]  # a missing unit means that the two scans dealt rows differently: an error, never a guess
-            if -1 in ids:
-                at = 0
-                for i in ids:
-                    out.extend([i] if i >= 0 else [pieces.byte_ids[b] for b in u[at].encode("utf-8", "replace")])
-                    at += len(pieces.pieces[i]) if i >= 0 else 1
-            else:
-                out.extend(ids)
-        return out
+                with pa.ipc.open_stream(b.column(2)[r].as_buffer()) as s:
+                    for part in s:
+                        if late:
+                            yield finish(part, known, words)
+                            continue
+                        ids = part.column(1)
+                        ends = (ids.offsets.to_numpy() * 4).tolist()
+                        flat = ids.values.to_numpy().astype("<i4").tobytes()
+                        known.update(zip(part.column(0).to_pylist(), [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], strict=True))
+
+    none = np.array([-1], "<i4").tobytes()
+
+    def unit_ids(u, known):
+        raw = known[u]  # a missing unit means that the two scans dealt rows differently: an error, never a guess
+        if none not in raw:
+            return raw
+        out, at = [], 0
+        for i in np.frombuffer(raw, "<i4").tolist():
+            out += [i] if i >= 0 else [pieces.byte_ids[x] for x in u[at].encode("utf-8", "replace")]
+            at += len(pieces.pieces[i]) if i >= 0 else 1
+        return np.array(out, "<i4").tobytes()
 
     def finish(batch, known, words):
-        rows = []
-        for t in batch.column(place).to_pylist():
-            if t is None:
-                rows.append(None)
-                continue
-            out: list[int] = []
-            for w in words_of(pieces, t):
-                if (ids := words.get(w)) is None:
-                    ids = words[w] = ids_of(w, known)
-                out += ids
-            rows.append((t, out) if digest else out)
+        texts = batch.column(place).to_pylist()
+        split = [words_of(t) for t in texts]
+        now = set().union(*split)
+        new, own = list(now - words.keys()), words
+        if len(words) > CACHE:  # words that come later are rare: they are looked up again
+            own = {w: words[w] for w in now & words.keys()}
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            units, ends = pieces.units(part)
+            raw = [unit_ids(u, known) for u in units]
+            own.update(zip(part, [b"".join(raw[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        get = own.__getitem__
+        coded = [b"".join(map(get, ws)) for ws in split]
         cols = [batch.column(i) for i in keep]
         if not digest:
-            return pa.RecordBatch.from_arrays([*cols, pa.array(rows, pa.list_(pa.int32()))], names=[*names, ids_out])
-        made = [(0, None, None, None) if r is None else _digest(pieces, *r) for r in rows]
-        made_cols = zip(*made, strict=True) if made else [()] * 4
+            ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype("<i4")
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")), mask=pa.array([t is None for t in texts]))
+            return pa.RecordBatch.from_arrays([*cols, ids], names=[*names, ids_out])
+        back = pieces.decode_all([np.frombuffer(c, "<i4") for c in coded])
+        made = [(0, None, None, None) if t is None else (len(c) // 4, hashlib.sha256(c).hexdigest(), hashlib.sha256(d.encode("utf-8", "replace")).hexdigest(), d == t) for t, c, d in zip(texts, coded, back, strict=True)]
         kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
-        return pa.RecordBatch.from_arrays([*cols, *(pa.array(c, k) for c, k in zip(made_cols, kinds, strict=True))], names=[*(names[i] for i in keep), "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
+        return pa.RecordBatch.from_arrays([*cols, *(pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True))], names=[*(names[i] for i in keep), "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
 
     schema = docs.select(*(col(names[i]) for i in keep)).schema
     if digest:
         schema = schema.add("n_pieces", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("round_trip", "boolean")
     else:
         schema = schema.add(ids_out, ArrayType(IntegerType()))
-    pairs = docs.select(col(text_col), F.spark_partition_id().alias(part)).mapInArrow(name_units, "block long, unit string").repartition("unit")
-    coded = lattice(pairs.select("unit").distinct(), pieces)
-    entries = pairs.join(coded.hint("shuffle_hash"), "unit").select("block", "unit", "ids", F.lit(None).cast("binary").alias("packed"))
-    texts = docs.withColumn(part, F.spark_partition_id()).mapInArrow(pack, "block long, packed binary").select("block", F.lit(None).cast("string").alias("unit"), F.array().cast("array<int>").alias("ids"), "packed")
-    both = entries.unionAll(texts).withColumn("late", F.col("unit").isNull())
-    return both.repartition("block").sortWithinPartitions("block", "late").drop("late").mapInArrow(meet, schema)
-
-
-def _digest(pieces: Pieces, text: str, ids: list[int]) -> tuple:
-    back = pieces.decode(ids)
-    return len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest(), back == text
+    pairs = docs.select(col(text_col), F.spark_partition_id().alias(part)).mapInArrow(tidy(name_units), "block long, unit string").repartition("unit")
+    units = pairs.groupBy("unit").agg(F.max("block").alias("block")).where("block >= 0")  # reads the same shuffle as pairs
+    entries = pairs.join(lattice(units.select("unit"), pieces).hint("shuffle_hash"), "unit").select("block", "unit", "ids")
+    packed = "block long, late boolean, packed binary"
+    texts = docs.withColumn(part, F.spark_partition_id()).mapInArrow(tidy(pack_texts), packed)
+    both = entries.mapInArrow(tidy(pack_entries), packed).unionAll(texts)
+    return both.repartition("block").sortWithinPartitions("block", "late").mapInArrow(tidy(meet), schema)
 
 
 def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "ids", text_out: str = "text") -> DataFrame:
@@ -282,7 +328,8 @@ def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "ids", text_out: str
 
     def run(batches):
         for b in batches:
-            texts = [None if x is None else pieces.decode(x) for x in b.column(place).to_pylist()]
+            given = b.column(place).to_pylist()
+            texts = [None if x is None else t for x, t in zip(given, pieces.decode_all([x or [] for x in given]), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
 
     return docs.mapInArrow(run, docs.schema.add(text_out, "string") if text_out not in docs.columns else docs.schema)
