@@ -100,14 +100,15 @@ CLEANERS = {
 
 @dataclass
 class DataCleaning(Analysis):
-    """columns: {column or None: ErrorType}; None is the label."""
+    """columns: {column or None: ErrorType}; None is the label. methods: those to try, of CLEANERS (default: all)."""
 
     columns: dict
+    methods: list[str] | None = None
 
     def variants(self, plan, executor):
         out = [Variant({"corrupted_column": None, "error": None, "cleaning_method": None})]
         for column, error in self.columns.items():
-            for name, how in CLEANERS[error]:
+            for name, how in (x for x in CLEANERS[error] if self.methods is None or x[0] in self.methods):
                 out.append(Variant({"corrupted_column": column, "error": error.value, "cleaning_method": name}, self._patches(plan, column, error, how, name)))
         return out
 
