@@ -379,11 +379,11 @@ query("impute_mode", f"SELECT doc_id, round(coalesce(CAST(quality AS DOUBLE), (S
 query("impute_const_indicator", f"SELECT doc_id, coalesce(CAST(quality AS DOUBLE), 9) AS q, CAST(quality IS NULL AS INT) AS q_missing FROM {LABELLED}")(_impute("constant", fill_value=9, add_indicator=True))
 
 
-@query("tfidf_idf_values", "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\\b[a-z0-9_]{2,}\\b')) AS term FROM documents WHERE lang = 'en') SELECT term, round(ln((1 + (SELECT count(*) FROM documents WHERE lang = 'en')) / (1.0 + count(*))) + 1, 4) AS idf FROM w GROUP BY 1")
+@query("tfidf_idf_values", "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM documents WHERE lang = 'en') SELECT term, round(ln((1 + (SELECT count(*) FROM documents WHERE lang = 'en')) / (1.0 + count(*))) + 1, 4) AS idf FROM w GROUP BY 1")
 def _(spark, d):
     docs = t(spark, d, "documents").where("lang = 'en'")
     n = docs.count()
-    terms = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z0-9_]{2,}\b"), F.lit(0))).alias("term")).distinct()
+    terms = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0))).alias("term")).distinct()
     return terms.groupBy("term").agg(F.round(F.log((F.lit(1 + n)) / (F.lit(1.0) + F.count("*"))) + 1, 4).alias("idf"))
 
 
@@ -442,13 +442,14 @@ def _noise_sql():
     steps, cols = f"SELECT o_orderkey, o_totalprice, {_HIT} AS hit, {x} AS x0 FROM orders", []
     for k in range(12):
         steps = f"SELECT *, (x{k} * {STEPS[k % 4]} + {12345 + k * 7919}) % 2147483648 AS x{k + 1} FROM ({steps})"
-        cols.append(f"x{k + 1} / 2147483648.0")
+        cols.append(f"x{k + 1} / 2147483648e0")
     return f"SELECT o_orderkey, round(CASE WHEN hit THEN o_totalprice + 2 * (SELECT stddev_pop(o_totalprice) FROM orders) * ({' + '.join(cols)} - 6) ELSE o_totalprice END, 2) AS v FROM ({steps})"
 
 
 @query("corruption_noise", _noise_sql())
 def _(spark, d):
-    return _corrupted("gaussian_noise", "o_totalprice")(spark, d).withColumn("v", F.round("v", 2))
+    o = corruption.corrupt(t(spark, d, "orders"), "o_totalprice", "gaussian_noise", 0.5, 1)
+    return o.select("o_orderkey", F.round("o_totalprice", 2).alias("v"))
 
 
 _PERMUTE = f"SELECT a.o_orderkey, b.o_orderpriority AS v FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) a JOIN (SELECT o_orderpriority, row_number() OVER (ORDER BY {U('o_orderkey', 1)}, o_orderkey) AS r FROM orders) b ON a.r = b.r"

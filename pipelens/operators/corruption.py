@@ -49,7 +49,7 @@ def typos(c: Column, rid: Column, seed: int = 0, **_) -> Column:
     the next letter, by a hash of row and place."""
     chars = F.split(F.translate(c, *TYPING), "")
     def one(x: Column, i: Column) -> Column:
-        h = F.pmod(F.pmod(lcg(rid, seed, 3) + i * F.lit(2654435), F.lit(MODULUS)) * F.lit(STEPS[0]) + F.lit(12345), F.lit(MODULUS))
+        h = F.pmod(F.pmod(lcg(rid, seed, 3) + i.cast("long") * F.lit(2654435), F.lit(MODULUS)) * F.lit(STEPS[0]) + F.lit(12345), F.lit(MODULUS))
         h = F.pmod(F.floor(h / 65536), F.lit(16))
         return F.when(h == 0, F.concat(x, x)).when(h == 1, F.lit("")).when((h == 2) & x.rlike("^[a-y]$"), F.char(F.ascii(x) + 1)).otherwise(x)
 

@@ -17,21 +17,20 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*(F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) if c in odd else F.col(c) for c in df.columns)) if odd else df
 
 
-def with_rid(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Adds `_rid`: the natural key if one is named, else the place in the files (file, then row index), which doesn't
-    depend on how the scan is dealt to tasks. Frames that don't come from files are numbered by their hash order."""
+def with_rid(df: DataFrame, key: str | None = None, in_files: bool = False) -> DataFrame:
+    """Adds `_rid`: the natural key if one is named; for Parquet files the place in them (file, then row index), which
+    doesn't depend on how the scan is dealt to tasks; else Spark's increasing number, which is stable for one frame."""
     if RID in df.columns:
         return df
     if key:
         return df.withColumn(RID, F.col(key).cast("long"))
-    try:
+    if in_files:
         return df.withColumn(RID, F.col("_metadata.row_index") + F.shiftleft(F.pmod(F.xxhash64("_metadata.file_path"), F.lit(1 << 20)), 40))
-    except Exception:  # noqa: BLE001  no file behind this frame
-        return df.withColumn(RID, F.monotonically_increasing_id())
+    return df.withColumn(RID, F.monotonically_increasing_id())
 
 
 def read_parquet(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    return with_rid(nan_to_null(spark.read.parquet(path)), key)
+    return nan_to_null(with_rid(spark.read.parquet(path), key, True))
 
 
 def read_csv(spark: SparkSession, path: str, na_values: str = "?", sep: str = ",", schema: str | None = None, key: str | None = None, usecols: list[str] | None = None, header: bool = True) -> DataFrame:
@@ -51,7 +50,7 @@ def from_records(spark: SparkSession, path: str, record: str, schema: str) -> Da
     """JSON files that hold an array of records under `record` ('' for JSON lines)."""
     if not record:
         return with_rid(spark.read.schema(schema).json(path))
-    whole = spark.read.option("multiLine", True).schema(f"{record} array<struct<{schema.replace(' ', ':')}>>").json(path)
+    whole = spark.read.option("multiLine", True).schema(f"{record} array<struct<{', '.join(':'.join(x.split()) for x in schema.split(','))}>>").json(path)
     return whole.select(F.posexplode(record).alias(RID, "r")).select("r.*", F.col(RID).cast("long").alias(RID))
 
 
