@@ -214,10 +214,10 @@ def _(spark, d):
     return R.merge(t(spark, d, "orders"), t(spark, d, "customer").drop(RID), left_on=["o_custkey"], right_on=["c_custkey"], how="right").select("c_custkey", "o_orderkey")
 
 
-@query("merge_outer", "SELECT coalesce(a.k, b.k) AS k, x, y FROM (SELECT c_nationkey AS k, count(*) AS x FROM customer WHERE c_nationkey < 15 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS y FROM supplier WHERE s_nationkey > 8 GROUP BY 1) b ON a.k = b.k")
+@query("merge_outer", "SELECT coalesce(a.k, b.k) AS k, x, y FROM (SELECT p_size AS k, count(*) AS x FROM part GROUP BY 1) a FULL JOIN (SELECT l_linenumber * 9 AS k, count(*) AS y FROM lineitem GROUP BY 1) b ON a.k = b.k")
 def _(spark, d):
-    a = t(spark, d, "customer").where("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("x"))
-    b = t(spark, d, "supplier").where("s_nationkey > 8").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("y"))
+    a = t(spark, d, "part").groupBy(F.col("p_size").alias("k")).agg(F.count("*").alias("x"))
+    b = t(spark, d, "lineitem").groupBy((F.col("l_linenumber") * 9).alias("k")).agg(F.count("*").alias("y"))
     return R.merge(a, b, on=["k"], how="outer")
 
 
@@ -379,9 +379,9 @@ query("impute_mode", f"SELECT doc_id, round(coalesce(CAST(quality AS DOUBLE), (S
 query("impute_const_indicator", f"SELECT doc_id, coalesce(CAST(quality AS DOUBLE), 9) AS q, CAST(quality IS NULL AS INT) AS q_missing FROM {LABELLED}")(_impute("constant", fill_value=9, add_indicator=True))
 
 
-@query("tfidf_idf_values", "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM documents WHERE lang = 'en') SELECT term, round(ln((1 + (SELECT count(*) FROM documents WHERE lang = 'en')) / (1.0 + count(*))) + 1, 4) AS idf FROM w GROUP BY 1")
+@query("tfidf_idf_values", "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM documents) SELECT term, round(ln((1 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1, 4) AS idf FROM w GROUP BY 1")
 def _(spark, d):
-    docs = t(spark, d, "documents").where("lang = 'en'")
+    docs = t(spark, d, "documents")
     n = docs.count()
     terms = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0))).alias("term")).distinct()
     return terms.groupBy("term").agg(F.round(F.log((F.lit(1 + n)) / (F.lit(1.0) + F.count("*"))) + 1, 4).alias("idf"))
