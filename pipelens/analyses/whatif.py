@@ -26,16 +26,16 @@ class Analysis:
         return [v.labels | s for v, s in zip(variants, scores, strict=True)]
 
 
-def corruption_change(df, column: str, kind, fraction: float, seed: int):
-    """Column -> Column that corrupts a share of the rows of a frame like df."""
+def corruption_changes(df, column: str, kind, shares, seed: int) -> list:
+    """For every share, Column -> Column that corrupts so many of the rows of a frame like df. What has to be known of
+    the frame is found once for all shares."""
     f = corruption.CORRUPTIONS[kind] if isinstance(kind, str) else kind
-    hit = fractions(df, F.col(RID), [fraction], seed)[0]
     known = corruption.parameters(df, column, kind if isinstance(kind, str) else "")
 
-    def change(c):
-        return F.when(hit, f(c, F.col(RID), seed=seed, **known)).otherwise(c)
+    def change(hit):
+        return lambda c: F.when(hit, f(c, F.col(RID), seed=seed, **known)).otherwise(c)
 
-    return change
+    return [change(hit) for hit in fractions(df, F.col(RID), list(shares), seed)]
 
 
 @dataclass
@@ -52,9 +52,9 @@ class DataCorruption(Analysis):
         out = [Variant({"column": None, "corruption_percentage": None})]
         for column, kind in self.columns:
             at = {s: column_location(plan, column, s) for s in (("test", "train") if self.also_train else ("test",))}
-            frames = {s: executor.value(plan, i) for s, i in at.items()}
-            for p in self.percentages:
-                change = {s: corruption_change(df, column, kind, p, self.seed) for s, df in frames.items()}
+            changes = {s: corruption_changes(executor.keep(plan, i), column, kind, self.percentages, self.seed) for s, i in at.items()}
+            for k, p in enumerate(self.percentages):
+                change = {s: c[k] for s, c in changes.items()}
                 labels = {"column": column, "corruption_percentage": p}
                 patch = ChangeColumn(column, change["test"], f"corrupt {column} {kind} {p} {self.seed}")
                 out.append(Variant(labels | {"_side": "test"}, [patch], (column, change["test"])))

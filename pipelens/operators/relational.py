@@ -11,7 +11,7 @@ from pipelens.functions import expr as E
 from pipelens.functions.hashing import chosen, thresholds
 from pipelens.sources.readers import RID
 
-HIDDEN = ("_rid", "_prov_")
+HIDDEN = ("_rid", "_prov_", "_variant_")
 
 
 def data_columns(df: DataFrame) -> list[str]:

@@ -49,12 +49,13 @@ class Executor:
                 todo += missing
                 continue
             began = time.perf_counter()
+            if self.share and (plan.nodes[k].op == Op.TRAIN_TEST_SPLIT or plan.nodes[k].params.get("exact")):
+                for p in plan.nodes[k].parents:  # choosing rows counts them several times
+                    local[p] = self._keep(plan.key(p), local[p])
             v = plan.nodes[k].build(*(local[p] for p in plan.nodes[k].parents))
             self.counters.built += 1
-            if readers and readers.get(key, 0) > 1 and plan.nodes[k].op in COSTLY and isinstance(v, DataFrame) and self.share:
-                v = v.persist(StorageLevel.MEMORY_AND_DISK)
-                self._persisted[key] = v
-                self.counters.kept += 1
+            if readers and readers.get(key, 0) > 1 and plan.nodes[k].op in COSTLY and self.share:
+                v = self._keep(key, v)
             self.counters.ms[key] = (time.perf_counter() - began) * 1000
             local[k] = v
             if self.share:
@@ -62,6 +63,18 @@ class Executor:
             todo.pop()
         return local[i]
 
+    def _keep(self, key: str, v):
+        if isinstance(v, DataFrame) and key not in self._persisted:
+            v = v.persist(StorageLevel.MEMORY_AND_DISK)
+            self._persisted[key] = self.values[key] = v
+            self.counters.kept += 1
+        return v
+
+    def keep(self, plan: Plan, i: int):
+        """The node's value, persisted until release()."""
+        v = self.value(plan, i)
+        return self._keep(plan.key(i), v) if self.share else v
+
     def readers(self, plans: list[Plan]) -> dict[str, int]:
         """How many different nodes read each one, over all plans together."""
         seen: dict[str, set[str]] = {}
@@ -93,12 +106,12 @@ class Executor:
         """Scores of variants that each change one column of the frame at node `at` by an expression (None: none), in
         one pass: rows are repeated by variant, every later operator runs once, and the scores are grouped."""
         base = self.value(plan, at)
-        df = base.withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))))
+        df = base.withColumn("_variant_", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))))
         for c in dict.fromkeys(x[0] for x in columns if x):
             changed = None
             for v, x in enumerate(columns):
                 if x and x[0] == c:
-                    test = F.col("_v") == v
+                    test = F.col("_variant_") == v
                     changed = F.when(test, x[1]) if changed is None else changed.when(test, x[1])
             df = df.withColumn(f"_new_{c}", changed.otherwise(F.col(c)))
         touched = list(dict.fromkeys(x[0] for x in columns if x))
@@ -109,8 +122,8 @@ class Executor:
             for k in plan.path_down(at, s.id):
                 local[k] = plan.nodes[k].build(*(local[p] if p in local else self.value(plan, p) for p in plan.nodes[k].parents))
             frame, metric = local[s.id]
-            for r in frame.groupBy("_v").agg(metric.alias("s")).collect():
-                out[r["_v"]][s.params["name"]] = r["s"]
+            for r in frame.groupBy("_variant_").agg(metric.alias("s")).collect():
+                out[r["_variant_"]][s.params["name"]] = r["s"]
             self.counters.actions += 1
         return out
 
