@@ -72,6 +72,17 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2048
+
+
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow, by batches of BATCH_ROWS at most unless the session names fewer: rows hold whole texts, and
+    Spark's 10,000 of them would be the largest thing in a task's memory. The setting stays, as plans run later."""
+    if int(df.sparkSession.conf.get(BATCH_CONF)) > BATCH_ROWS:
+        df.sparkSession.conf.set(BATCH_CONF, BATCH_ROWS)
+    return df.mapInArrow(tidy(f), schema)
+
+
 def tidy(f):
     """f over Arrow batches; when it is done, its worker gives freed memory back, as it may idle beside the next one."""
 

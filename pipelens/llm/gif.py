@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipelens.llm._shared import col
+from pipelens.llm._shared import col, map_arrow
 
 ROW = 64  # samples a row of a stored payload
 ROWS = 4096  # rows a frame at most; a longer payload takes several frames
@@ -245,7 +245,7 @@ def decode_frames(media: DataFrame, id_col: str = "id", media_col: str = "media"
 
     spec = f"id {kind}, {FRAMES}, error string"
     to_schema = to_arrow_schema(media.sparkSession.createDataFrame([], spec).schema)
-    return media.select(col(id_col).alias("id"), col(media_col).alias("media")).mapInArrow(run, spec)
+    return map_arrow(media.select(col(id_col).alias("id"), col(media_col).alias("media")), run, spec)
 
 
 def store_bytes(payload: bytes) -> bytes:
@@ -289,5 +289,5 @@ def as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * keep_media]
     spec = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
     names = [x.strip().split(" ")[0] for x in spec.split(", ")]
-    out = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(run, spec)
+    out = map_arrow(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), run, spec)
     return out.withColumnRenamed("id", id_col)

@@ -10,14 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipelens.llm._shared import col
+from pipelens.llm._shared import col, map_arrow
 
 WINDOW = 256  # bytes pooled together
 WIDTHS = (2, 4)  # of the filters, in bytes
 FILTERS = 16  # of each width
 EMBED = 8
-SAMPLE = 600  # labelled rows a language that the network is fitted on, about; the documented bound
+SAMPLE = 1500  # labelled rows a language that the network is fitted on, about; the documented bound
 CROP = 600  # characters taken from each of them
+STEPS = 1200  # of training, however many rows there are
 MAX_LANGS = 512
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -45,7 +46,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 14, batch: int = 64, seed: int = 7) -> Model | None:
+def train(rows: list[tuple[str, str]], steps: int = STEPS, batch: int = 64, seed: int = 7) -> Model | None:
     """rows: (text, language), already bounded and in a fixed order. Adam on cross-entropy; texts are cropped to
     random lengths so that short texts count too. None without rows."""
     if not rows:
@@ -60,9 +61,11 @@ def train(rows: list[tuple[str, str]], epochs: int = 14, batch: int = 64, seed:
     p |= {f"w{w}": rng.normal(0, (2 / (w * EMBED)) ** 0.5, (w * EMBED, FILTERS)) for w in WIDTHS}
     p["embed"][0] = 0
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
+            if step == steps:
+                break
             ids = order[at : at + batch]
             x = np.zeros((len(ids), reach), np.uint8)
             for r, i in enumerate(ids):
@@ -183,7 +186,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_o
             langs, scores = scorer(texts) if scorer else ([UND] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -131,7 +131,7 @@ def _slot(plan: list[dict], source: str, k: int) -> int:
     return p["start"] + k // w * p["period"] + p["slots"][source][k % w]
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, rows_a_part: int = 20_000, **options) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, rows_a_part: int = 5_000, **options) -> DataFrame:
     """docs in the order of the schedule: written as they are, the files follow each other in it. Positions are dense,
     so each row knows its partition, and no sampling pass is needed."""
     out, n = schedule(docs, weights, **options)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipelens.llm._shared import col, materialise
+from pipelens.llm._shared import col, map_arrow, materialise
 from pipelens.llm.components import components
 
 BITS = 128  # of a code, at least; vectors are padded with zeros up to a multiple of 64
@@ -156,8 +156,8 @@ def linked(nodes: DataFrame, n: int, dim: int, vector: str, least: float) -> Dat
         root = rows["key"][order[low[rank[at]]]]
         yield pa.RecordBatch.from_arrays([pa.array(rows["key"][at]), pa.array(rows["key2"][at]), pa.array(count[at].astype(np.int64)), pa.array(root)], names=["key", "key2", "n", "root"])
 
-    dealt = nodes.select("key", "key2", "copies", "v").mapInArrow(deal, "pair long, side byte, row binary")
-    return dealt.repartition("pair").sortWithinPartitions("pair").mapInArrow(meet, "key long, key2 long, n long, root long")
+    dealt = map_arrow(nodes.select("key", "key2", "copies", "v"), deal, "pair long, side byte, row binary")
+    return map_arrow(dealt.repartition("pair").sortWithinPartitions("pair"), meet, "key long, key2 long, n long, root long")
 
 
 def _as_bytes(df: DataFrame, vector: str) -> DataFrame:

@@ -16,6 +16,7 @@ import hashlib
 import os
 import re
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from pipelens.llm._shared import col, fresh, materialise, tidy
+from pipelens.llm._shared import col, fresh, map_arrow, materialise
 
 SPACE = "▁"
 MODEL = os.path.join(os.environ.get("PIPELENS_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
+NO_PIECE = np.array([-1], "<i4").tobytes()
 BYTE_SCORE = -1e12  # below every path of pieces
-BLOCK = 32 << 20  # characters that share one dictionary in a worker's memory
-CACHE = 120_000  # words of a block that are kept joined
+BLOCK = 16 << 20  # bytes of text that share one dictionary in a worker's memory
+CACHE = 80_000  # words of a block that are kept joined
+WORDS = 150_000  # words that wait to be cut
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -90,11 +93,12 @@ class Pieces:
         """The texts of lists of ids. Unknown and control pieces stand for nothing; broken byte runs for U+FFFD. The
         pieces' bytes are gathered for all lists at once."""
         sizes = [len(x) for x in ids]
-        flat = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in ids)])
+        flat = np.concatenate([np.zeros(0, np.int32), *(np.asarray(x, np.int32) for x in ids)])
         n = self._size[flat]
-        ends = np.cumsum(n)
-        at = np.repeat(self._at[flat] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-        raw, cuts = self._flat[at].tobytes(), np.concatenate([[0], ends])[np.cumsum([0, *sizes])].tolist()
+        ends = np.cumsum(n, dtype=np.int64)
+        at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)  # one batch's texts; far below 2 GB
+        at += np.repeat((self._at[flat] - (ends - n)).astype(np.int32), n)
+        raw, cuts = self._flat.take(at).tobytes(), np.concatenate([[0], ends])[np.cumsum([0, *sizes])].tolist()
         out = [raw[a:b].decode("utf-8", "replace").replace(SPACE, " ") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return [t[1:] if t[:1] == " " else t for t in out]
 
@@ -157,10 +161,38 @@ def _merge_fold(grouped: DataFrame) -> DataFrame:
     long = f"transform(array({ends}), s -> transform(filter(sort_array(edges), x -> s[x.a] = x.b), x -> coalesce(x.id, -1)))[0]"
     # the numbers are worked out for short units only: a shift by 63 or more would wrap
     wide = """sort_array(transform(filter(edges, x -> x.b > x.a + 1), x -> struct(-x.score as rank, x.a as a, x.b as b,
-        shiftleft(1L, x.a) | shiftleft(1L, x.b) as ab, shiftleft(1L, x.b) - shiftleft(2L, x.a) as inner)))"""
+        if(x.b > 62, 0L, shiftleft(1L, x.a) | shiftleft(1L, x.b)) as ab, if(x.b > 62, 0L, shiftleft(1L, x.b) - shiftleft(2L, x.a)) as inner)))"""
     return grouped.select("unit", "edges", F.expr(wide).alias("wide")).select("unit", F.expr(f"if(length(unit) <= 62, {short}, {long})").alias("ids"))
 
 
+class Dictionary:
+    """A block's units and their ids as little-endian int32."""
+
+    def __init__(self, pieces: Pieces, parts: list[pa.Table]):
+        self.pieces, self.known = pieces, {}
+        while parts:
+            for b in parts.pop().to_batches():
+                ids = b.column(1)
+                ends, flat = (ids.offsets.to_numpy() * 4).tolist(), ids.values.to_numpy().astype("<i4").tobytes()
+                self.known.update(zip(b.column(0).to_pylist(), [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], strict=True))
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. A unit that isn't here means that the two scans dealt rows differently, which is an
+        error, never a guess."""
+        units, ends = self.pieces.units(words)
+        raw = list(map(self.known.__getitem__, units))
+        if any(NO_PIECE in r for r in raw):
+            raw = [self._spelled(u, np.frombuffer(r, "<i4")) if NO_PIECE in r else r for u, r in zip(units, raw, strict=True)]
+        return [b"".join(raw[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _spelled(self, unit: str, ids: np.ndarray) -> bytes:
+        out, at = [], 0
+        for i in ids.tolist():
+            out += [i] if i >= 0 else [self.pieces.byte_ids[x] for x in unit[at].encode("utf-8", "replace")]
+            at += len(self.pieces.pieces[i]) if i >= 0 else 1
+        return np.array(out, "<i4").tobytes()
+
+
 def _same_twice(df: DataFrame) -> bool:
     """Whether two scans of df deal its rows to the same partitions: nothing but projections and filters of a source."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
@@ -190,32 +222,37 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_out: str
         """(block, batch): a block has batches of about BLOCK bytes of text, which is column `at`. The last column is
         the number of the scan's partition; within a union the task's own number would be another."""
         block, size = 0, 0
-        for b in batches:
-            if not len(b):
-                continue
-            base, b = b.column(b.num_columns - 1)[0].as_py() << 24, b.select(list(range(b.num_columns - 1)))
-            n = b.column(at).nbytes
-            if size and size + n > BLOCK:
-                block, size = block + 1, 0
-            size += n
-            yield base + block, b
+        for whole in batches:
+            base = whole.column(whole.num_columns - 1)[0].as_py() << 24 if len(whole) else 0
+            whole = whole.select(list(range(whole.num_columns - 1)))
+            for i in range(0, len(whole), 1024):
+                b = whole.slice(i, 1024)
+                n = b.column(at).nbytes
+                if size and size + n > BLOCK:
+                    block, size = block + 1, 0
+                size += n
+                yield base + block, b
 
     def name_units(batches):
-        now, words = None, set()
+        now, words, seen = None, set(), set()
         for block, b in blocks(batches, 0):
             if block != now:
-                yield from flush(now, words)
-                now, words = block, set()
-            for i in range(0, len(b), 512):
-                for t in b.column(0).slice(i, 512).to_pylist():
-                    if t:
-                        words.update(words_of(t))
-        yield from flush(now, words)
-
-    def flush(block, words):
-        words, seen = list(words), set()
-        for i in range(0, len(words), 20_000):
-            seen.update(pieces.units(words[i : i + 20_000])[0])
+                yield from flush(now, words, seen)
+                now, words, seen = block, set(), set()
+            for t in b.column(0).to_pylist():
+                words.update(words_of(t))
+            if len(words) > WORDS:
+                cut(words, seen)
+        yield from flush(now, words, seen)
+
+    def cut(words, seen):
+        several = iter(words)
+        while part := list(islice(several, 20_000)):
+            seen.update(pieces.units(part)[0])
+        words.clear()
+
+    def flush(block, words, seen):
+        cut(words, seen)
         units = list(seen)
         for i in range(0, len(units), 50_000):
             part = units[i : i + 50_000]
@@ -232,15 +269,14 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_out: str
 
     def pack_texts(batches):
         for block, b in blocks(batches, place):
-            for i in range(0, len(b), 512):
-                yield row(block, True, b.slice(i, 512))
+            yield row(block, True, b)
 
     def pack_entries(batches):
         held, n = [], 0
         for b in batches:
             held.append(b)
             n += len(b)
-            if n > 300_000:
+            if n > 100_000:
                 yield from by_block(held)
                 held, n = [], 0
         yield from by_block(held)
@@ -250,6 +286,8 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_out: str
             return
         t = pa.Table.from_batches(held).combine_chunks()
         t = t.take(np.argsort(t.column("block").to_numpy(), kind="stable"))
+        if len(pieces.pieces) < 1 << 15:  # half the bytes
+            t = t.set_column(t.schema.get_field_index("ids"), "ids", t.column("ids").cast(pa.list_(pa.int16())))
         block = t.column("block").to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
         for a, e in zip(cuts[:-1], cuts[1:], strict=True):
@@ -257,32 +295,19 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_out: str
                 yield row(int(block[a]), False, t.select(["unit", "ids"]).slice(a, e - a).combine_chunks())
 
     def meet(batches):
-        now, known, words = None, {}, {}
+        now, parts, known, words = None, [], None, {}
         for b in batches:
             for r, (block, late) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 if block != now:
-                    now, known, words = block, {}, {}
+                    now, parts, known, words = block, [], None, {}
                 with pa.ipc.open_stream(b.column(2)[r].as_buffer()) as s:
+                    if not late:
+                        parts.append(s.read_all())
+                        continue
+                    if known is None:
+                        known, parts = Dictionary(pieces, parts), []
                     for part in s:
-                        if late:
-                            yield finish(part, known, words)
-                            continue
-                        ids = part.column(1)
-                        ends = (ids.offsets.to_numpy() * 4).tolist()
-                        flat = ids.values.to_numpy().astype("<i4").tobytes()
-                        known.update(zip(part.column(0).to_pylist(), [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], strict=True))
-
-    none = np.array([-1], "<i4").tobytes()
-
-    def unit_ids(u, known):
-        raw = known[u]  # a missing unit means that the two scans dealt rows differently: an error, never a guess
-        if none not in raw:
-            return raw
-        out, at = [], 0
-        for i in np.frombuffer(raw, "<i4").tolist():
-            out += [i] if i >= 0 else [pieces.byte_ids[x] for x in u[at].encode("utf-8", "replace")]
-            at += len(pieces.pieces[i]) if i >= 0 else 1
-        return np.array(out, "<i4").tobytes()
+                        yield finish(part, known, words)
 
     def finish(batch, known, words):
         texts = batch.column(place).to_pylist()
@@ -292,10 +317,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_out: str
         if len(words) > CACHE:  # words that come later are rare: they are looked up again
             own = {w: words[w] for w in now & words.keys()}
         for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            units, ends = pieces.units(part)
-            raw = [unit_ids(u, known) for u in units]
-            own.update(zip(part, [b"".join(raw[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+            own.update(zip(new[i : i + 20_000], known.ids(new[i : i + 20_000]), strict=True))
         get = own.__getitem__
         coded = [b"".join(map(get, ws)) for ws in split]
         cols = [batch.column(i) for i in keep]
@@ -308,18 +330,22 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_out: str
         kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
         return pa.RecordBatch.from_arrays([*cols, *(pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True))], names=[*(names[i] for i in keep), "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
 
-    schema = docs.select(*(col(names[i]) for i in keep)).schema
+    schema = docs.select(*(col(names[i]) for i in keep)).schema  # of a frame of its own: add() changes it
     if digest:
         schema = schema.add("n_pieces", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("round_trip", "boolean")
     else:
         schema = schema.add(ids_out, ArrayType(IntegerType()))
-    pairs = docs.select(col(text_col), F.spark_partition_id().alias(part)).mapInArrow(tidy(name_units), "block long, unit string").repartition("unit")
+    pairs = map_arrow(docs.select(col(text_col), F.spark_partition_id().alias(part)), name_units, "block long, unit string").repartition("unit")
     units = pairs.groupBy("unit").agg(F.max("block").alias("block")).where("block >= 0")  # reads the same shuffle as pairs
     entries = pairs.join(lattice(units.select("unit"), pieces).hint("shuffle_hash"), "unit").select("block", "unit", "ids")
     packed = "block long, late boolean, packed binary"
-    texts = docs.withColumn(part, F.spark_partition_id()).mapInArrow(tidy(pack_texts), packed)
-    both = entries.mapInArrow(tidy(pack_entries), packed).unionAll(texts)
-    return both.repartition("block").sortWithinPartitions("block", "late").mapInArrow(tidy(meet), schema)
+    texts = map_arrow(docs.withColumn(part, F.spark_partition_id()), pack_texts, packed)
+    both = map_arrow(entries, pack_entries, packed).unionAll(texts)
+    # several times as many partitions as blocks: a task then has a block or two, and small Arrow batches
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size if size < 1 << 60 else 0  # not known
+    parts = min(100_000, 4 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BLOCK))
+    return map_arrow(both.repartition(parts, "block").sortWithinPartitions("block", "late"), meet, schema)
 
 
 def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "ids", text_out: str = "text") -> DataFrame:
@@ -332,7 +358,7 @@ def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "ids", text_out: str
             texts = [None if x is None else t for x, t in zip(given, pieces.decode_all([x or [] for x in given]), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
 
-    return docs.mapInArrow(run, docs.schema.add(text_out, "string") if text_out not in docs.columns else docs.schema)
+    return map_arrow(docs, run, docs.withColumn(text_out, F.lit(None).cast("string")).schema)
 
 
 def digests(spark: SparkSession, docs: DataFrame, path: str = MODEL) -> DataFrame:

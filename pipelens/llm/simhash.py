@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipelens.llm._shared import col, fresh, materialise
+from pipelens.llm._shared import col, fresh, map_arrow, materialise
 from pipelens.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", out:
             fp = np.array([fingerprint(t) for t in b.column(len(keep)).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(fp)], names=[*keep, out])
 
-    return picked.mapInArrow(run, schema)
+    return map_arrow(picked, run, schema)
 
 
 def _counts(fp: np.ndarray) -> np.ndarray:
@@ -178,8 +178,8 @@ def links(fps: DataFrame) -> DataFrame:
         if us:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us).view(np.int64)), pa.array(np.concatenate(vs).view(np.int64))], names=["u", "v"])
 
-    dealt = fps.mapInArrow(deal, "pair long, side byte, fp long")
-    return dealt.repartition("pair").sortWithinPartitions("pair").mapInArrow(meet, "u long, v long")
+    dealt = map_arrow(fps, deal, "pair long, side byte, fp long")
+    return map_arrow(dealt.repartition("pair").sortWithinPartitions("pair"), meet, "u long, v long")
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

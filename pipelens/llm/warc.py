@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelens.llm._shared import col, new_path
+from pipelens.llm._shared import col, map_arrow, new_path
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE = 8 << 20  # bytes of a file whose records one row of the reader's plan owns
@@ -200,7 +200,7 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
                 made.append(member(record("" if i is None else i, url, html, REVISIT if again else RESPONSE, "" if first is None else first)))
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["member"])
 
-    write(t.mapInArrow(run, "member binary"), path)
+    write(map_arrow(t, run, "member binary"), path)
 
 
 PARSED = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -228,7 +228,7 @@ def parsed(records: DataFrame, payloads: bool = True) -> DataFrame:
     spec = PARSED if payloads else PARSED.removesuffix(", payload binary")
     kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in spec.split(", ")]
     names = [x.split()[0] for x in spec.split(", ")]
-    return records.select("record").mapInArrow(run, spec)
+    return map_arrow(records.select("record"), run, spec)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:

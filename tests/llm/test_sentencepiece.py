@@ -40,8 +40,9 @@ def test_digest_and_odd_tables(spark, pieces):
 def test_viterbi_against_brute_force(spark):
     rng = random.Random(2)
     names = ["▁", *"abc", "▁a", "ab", "bc", "abc", "▁ab", "ca", "cab"]
-    table = S.Pieces(names, [-rng.random() * 5 for _ in names], list(range(len(names))), list(range(100, 356))).indexed()
-    at = {p: (s, i) for i, (p, s) in enumerate(zip(names, table.scores, strict=True))}
+    n = len(names)
+    table = S.Pieces(names + [f"<0x{b:02X}>" for b in range(256)], [-rng.random() * 5 for _ in range(n)] + [0.0] * 256, list(range(n)), list(range(n, n + 256))).indexed()
+    at = {p: (s, i) for i, (p, s) in enumerate(zip(names, table.scores, strict=False))}
     units = sorted({"▁" + "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))) for _ in range(40)})
 
     def best(u):
