@@ -30,7 +30,7 @@ SPACE = "▁"
 MODEL = os.path.join(os.environ.get("PIPELENS_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
 NO_PIECE = np.array([-1], "<i4").tobytes()
 BYTE_SCORE = -1e12  # below every path of pieces
-BLOCK = 16 << 20  # bytes of text that share one dictionary in a worker's memory
+BLOCK = 24 << 20  # bytes of text that share one dictionary in a worker's memory
 CACHE = 80_000  # words of a block that are kept joined
 WORDS = 150_000  # words that wait to be cut
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
