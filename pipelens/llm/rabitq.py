@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,11 +176,11 @@ def near_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     """(id, n_links, component_id, kept) for every row: the other rows that it links to by a cosine of `least` or
     more in double precision, the smallest id reachable over links, and whether it is the row's own.
 
-    Null vectors, zero vectors, those with a null or non-finite component, and those of another length than the most
-    common one link with nothing. Null ids take part; a component of nothing else has a null component_id. Rows with
+    Null vectors, zero vectors and those with a null or non-finite component link with nothing; vectors of different
+    lengths don't link with each other. Null ids take part; a component of nothing else has a null component_id. Rows with
     the same id are rows of their own.
 
-    Equal vectors are one node with a number of copies, so groups of copies cost one row. Nodes meet in pairs of tiles,
+    Equal vectors are one node with a number of copies, so groups of copies cost one row. Nodes of one length meet in pairs of tiles,
     each of which holds TILE of them at most, whatever groups there are; a node travels to as many tasks as there are
     tiles. Every pair is screened by its codes, so the work grows with the square of the number of different vectors,
     a few nanoseconds a pair. Tasks return counts and a spanning forest, never pairs.
@@ -189,13 +190,12 @@ def near_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     e = col(vector_col)
     ok = e.isNotNull() & F.exists(e, lambda x: x != 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(col(id_col).alias("id"), F.when(F.coalesce(ok, F.lit(False)), e.cast("array<float>" if kind == "float" else "array<double>")).alias("v"))
-    common = rows.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    dim = common[0]["n"] if common else 1
-    rows = rows.withColumn("v", F.when(F.size("v") == dim, F.col("v")))
     rows = rows.withColumn("key", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("key2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit("2"), "v")))
     nodes = rows.where("v is not null").groupBy("key", "key2").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("v").alias("v"))
     nodes, _ = materialise(nodes, "vectors")
-    found, _ = materialise(linked(_as_bytes(nodes.select("key", "key2", "copies", "v"), vector), nodes.count(), dim, vector, least), "found")
+    sizes = sorted((r["dim"], r["count"]) for r in nodes.groupBy(F.size("v").alias("dim")).count().collect())
+    parts = [linked(_as_bytes(nodes.where(F.size("v") == dim).select("key", "key2", "copies", "v"), vector), n, dim, vector, least) for dim, n in sizes]
+    found, _ = materialise(reduce(DataFrame.unionAll, parts, nodes.select("key", "key2", F.lit(0).cast("long").alias("n"), F.col("key").alias("root")).limit(0)), "found")
     counts = found.groupBy("key", "key2").agg(F.sum("n").alias("links"))
     comps = components(found.select(F.col("key").alias("u"), F.col("root").alias("v")))
     placed = nodes.select("key", "key2", "copies", "least").join(counts, ["key", "key2"], "left").join(comps, F.col("key") == F.col("node"), "left")
