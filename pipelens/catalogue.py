@@ -690,7 +690,7 @@ def _(spark, d):
 
 @query("label_errors_report", None)
 def _(spark, d):
-    found = shadow.LabelErrors(train_fraction=0.1, test_fraction=0.05).check(plan_of(spark, d), Executor())
+    found = shadow.LabelErrors().check(plan_of(spark, d), Executor())
     return spark.createDataFrame([(found["before"], found["after"], found["flipped"])], "before double, after double, flipped long")
 
 

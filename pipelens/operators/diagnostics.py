@@ -27,7 +27,7 @@ def knn_shapley(train: DataFrame, test: DataFrame, vector: str = "embedding", la
     by = Window.partitionBy("test").orderBy("d", "train")
     ranked = distances(train, test, vector, label).select("*", F.row_number().over(by).alias("i"), F.lead("hit").over(by).alias("next"), F.count("*").over(Window.partitionBy("test")).alias("n"))
     step = F.when(F.col("next").isNull(), F.col("hit") / F.col("n")).otherwise((F.col("hit") - F.col("next")) * F.least(F.lit(k), F.col("i")) / F.col("i") / F.lit(k))
-    suffix = Window.partitionBy("test").orderBy("i").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    suffix = Window.partitionBy("test").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a frame to the end would be summed anew for every row
     return ranked.withColumn("step", step).withColumn("s", F.sum("step").over(suffix)).groupBy("train").agg(F.avg("s").alias("shapley"))
 
 
