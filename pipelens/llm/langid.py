@@ -105,20 +105,25 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, batch: int = 64, seed
     return Model(langs, p["embed"], {w: p[f"w{w}"] for w in WIDTHS}, p["bias"], p["out"], p["out_bias"])
 
 
-def fit(docs: DataFrame, key: Column, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Fits on about `sample` rows of each language, chosen by the hash of key; null texts and languages don't count.
+def sampled(docs: DataFrame, key: Column, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> list[tuple[str, str]]:
+    """(text, language) of about `sample` rows of each language, chosen by the hash of key; null texts and languages don't count.
     All rows are counted by language; only the crops of the chosen rows reach the driver."""
     labelled = docs.where(col(text_col).isNotNull() & col(lang_col).isNotNull()).select(col(text_col).alias("text"), col(lang_col).alias("lang"), key.alias("key"))
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()}
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages; is {lang_col} a language column?")
     if not counts:
-        return None
+        return []
     limit = F.coalesce(*(F.when(F.col("lang") == k, F.lit(int(min(1.0, sample / n) * 2**30))) for k, n in counts.items()))
     chosen = labelled.where(F.pmod(F.xxhash64("key", F.lit("language sample")), F.lit(2**30)) < limit)
     start = F.pmod(F.xxhash64("key", F.lit("crop")), F.greatest(F.length("text") - CROP, F.lit(0)) + 1) + 1
     rows = chosen.select(F.substring(F.col("text"), start.cast("int"), F.lit(CROP)).alias("text"), "lang").collect()
-    return train(sorted((r["text"], r["lang"]) for r in rows))
+    return sorted((r["text"], r["lang"]) for r in rows)
+
+
+def fit(docs: DataFrame, key: Column, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
+    """Fits on the sampled rows."""
+    return train(sampled(docs, key, text_col, lang_col, sample))
 
 
 class Scorer:
