@@ -72,14 +72,17 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2048
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
 
 def map_arrow(df: DataFrame, f, schema) -> DataFrame:
-    """df.mapInArrow, by batches of BATCH_ROWS at most unless the session names fewer: rows hold whole texts, and
-    Spark's 10,000 of them would be the largest thing in a task's memory. The setting stays, as plans run later."""
-    if int(df.sparkSession.conf.get(BATCH_CONF)) > BATCH_ROWS:
-        df.sparkSession.conf.set(BATCH_CONF, BATCH_ROWS)
+    """df.mapInArrow, by batches of BATCH_BYTES and BATCH_ROWS at most, or fewer rows if the session says so. Rows hold
+    whole texts, and Spark's 10,000 of them would be the largest thing in a task's memory, in the executor as well as in
+    its Python worker. A larger row is a batch of its own. The settings stay in the session, as plans read them when
+    they run."""
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf.set(rows, min(BATCH_ROWS, int(conf.get(rows))) if int(conf.get(rows)) > 0 else BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(tidy(f), schema)
 
 

@@ -5,21 +5,26 @@ wherever no piece contains the two neighbouring characters, which changes no pat
 units are exploded up to the longest piece, joined to the piece table, grouped by unit, and folded by `aggregate`.
 
 A unigram model's best path has the largest sum of piece scores: the fold is Viterbi's. The scores of a merge (BPE)
-model are ranks whose sums mean nothing, so Viterbi can't give its ids; there the fold takes the lattice's edges in
-the order of the merges, which gives the ids of the model's own library (README). Characters without a piece become
-byte pieces.
+model are ranks whose sums mean nothing, so Viterbi can't give its ids; there a second fold takes the lattice's edges in
+the order of the merges, which gives the ids of the model's own library (README), and Viterbi's best path over the same
+lattice is returned beside them. Characters without a piece become byte pieces.
+
+Units of over LONG characters (a run that no piece boundary cuts, such as base64) don't enter the lattice, as folds copy
+their state at every step: the tasks that hold them fold them in place, by the same rules in linear time. So do units
+with a piece whose merges don't come in rank order (`Pieces.indexed`); the installed model has one, sixteen spaces.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import os
 import re
-from dataclasses import dataclass, field
-from itertools import islice
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -28,12 +33,12 @@ from pipelens.llm._shared import col, fresh, map_arrow, materialise
 
 SPACE = "▁"
 MODEL = os.path.join(os.environ.get("PIPELENS_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
-NO_PIECE = np.array([-1], "<i4").tobytes()
 BYTE_SCORE = -1e12  # below every path of pieces
-BLOCK = 24 << 20  # bytes of text that share one dictionary in a worker's memory
-CACHE = 80_000  # words of a block that are kept joined
-WORDS = 150_000  # words that wait to be cut
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
+BLOCK = 32 << 20  # bytes of text that share one dictionary in a worker's memory
+SLICE = 2 << 20  # bytes of text that are cut at once; divides BLOCK
+LONG = 62  # characters of the longest unit that the lattice takes: the merge fold's state is the bits of a number
+LATE = 32  # late pieces that units are searched for; with more of them, every unit is folded where it stands
+CACHE = 100_000  # characters of long units whose paths a task keeps
 
 
 @dataclass
@@ -45,7 +50,7 @@ class Pieces:
     normal: list[int]
     byte_ids: list[int]
     merges: bool = False  # merged in rank order instead of scored by path
-    pairs: frozenset = field(default_factory=frozenset)
+    late: tuple[str, ...] = ()  # pieces of a merge table whose merges don't come in rank order
 
     @classmethod
     def load(cls, path: str = MODEL) -> Pieces:
@@ -64,133 +69,256 @@ class Pieces:
         return cls(names, [sp.get_score(i) for i in range(n)], own, byte_ids, spec.trainer_spec.model_type == spec.trainer_spec.BPE).indexed()
 
     def indexed(self) -> Pieces:
-        self.pairs = frozenset(p[i : i + 2] for p in (self.pieces[k] for k in self.normal) for i in range(len(p) - 1))
-        chars = sorted({c for p in self.pairs for c in p})
-        number = {c: i + 1 for i, c in enumerate(chars)}
-        self._kind = np.zeros(0x110000, np.uint16)
-        self._kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
-        self._spanned = np.zeros((len(chars) + 1, len(chars) + 1), bool)
-        for p in self.pairs:
-            self._spanned[number[p[0]], number[p[1]]] = True
+        """Finds the late pieces. The merge fold tries each edge once, in rank order. That misses a merge which a worse
+        one has made possible; the first such merge of a text makes a piece out of two parts, whose own merges were the
+        same when that piece stands alone. So each piece is tried alone, and units without a late piece are safe."""
+        if self.merges:
+            scores = self.table()
+            orders = ((p, _merges(p, scores)[1]) for p in scores)
+            self.late = tuple(p for p, done in orders if any(a > b for a, b in zip(done[:-1], done[1:], strict=True)))
         return self
 
+    def fits(self, units: pa.Array) -> pa.Array:
+        """Which units the lattice takes: those of LONG characters at most, without a late piece."""
+        ok = pc.less_equal(pc.utf8_length(units), LONG if len(self.late) <= LATE else 0)
+        for p in self.late[:LATE]:
+            ok = pc.and_(ok, pc.invert(pc.match_substring(units, p)))
+        return ok
+
+    def table(self) -> dict[str, tuple[float, int]]:
+        return {self.pieces[i]: (self.scores[i], i) for i in self.normal}
+
     @property
     def longest(self) -> int:
         return max((len(self.pieces[i]) for i in self.normal), default=1)
 
-    def units(self, words: list[str]) -> tuple[list[str], list[int]]:
-        """The units of all words in a row, and where each word's units end. All words are cut at once: characters
-        that stand in a pair have small numbers."""
-        flat, ends = SPACE + SPACE.join(words), np.cumsum([len(w) + 1 for w in words])
-        kind = self._kind[np.frombuffer(flat.encode("utf-32-le", "replace"), "<u4")]
-        cut = np.flatnonzero(~self._spanned[kind[:-1], kind[1:]]) + 1
-        cuts = np.union1d(cut, ends)
-        places = (np.searchsorted(cuts, ends) + 1).tolist()
-        cuts = cuts.tolist()
-        return [flat[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], places
-
-    def decode_all(self, ids: list) -> list[str]:
-        """The texts of lists of ids. Unknown and control pieces stand for nothing; broken byte runs for U+FFFD. The
-        pieces' bytes are gathered for all lists at once."""
-        sizes = [len(x) for x in ids]
-        flat = np.concatenate([np.zeros(0, np.int32), *(np.asarray(x, np.int32) for x in ids)])
-        n = self._size[flat]
-        ends = np.cumsum(n, dtype=np.int64)
-        at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)  # one batch's texts; far below 2 GB
-        at += np.repeat((self._at[flat] - (ends - n)).astype(np.int32), n)
-        raw, cuts = self._flat.take(at).tobytes(), np.concatenate([[0], ends])[np.cumsum([0, *sizes])].tolist()
-        out = [raw[a:b].decode("utf-8", "replace").replace(SPACE, " ") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return [t[1:] if t[:1] == " " else t for t in out]
-
-    def decode(self, ids) -> str:
-        return self.decode_all([ids])[0]
+    def cutter(self) -> Cutter:
+        return Cutter(sorted({p[i : i + 2] for p in (self.pieces[k] for k in self.normal) for i in range(len(p) - 1)}))
 
-    def __post_init__(self):
-        normal = set(self.normal)
-        raw = [p.encode() if i in normal else b"" for i, p in enumerate(self.pieces)]
+    def decoder(self) -> Decoder:
+        raw = [b""] * len(self.pieces)
+        for i in self.normal:
+            raw[i] = self.pieces[i].encode()
         for b, i in enumerate(self.byte_ids):
             raw[i] = bytes([b])
-        self._size = np.array([len(r) for r in raw])
-        self._at, self._flat = np.cumsum(self._size) - self._size, np.frombuffer(b"".join(raw), np.uint8)
+        size = np.array([len(r) for r in raw])
+        return Decoder(size, np.cumsum(size) - size, np.frombuffer(b"".join(raw), np.uint8))
 
+    def decode(self, ids) -> str:
+        return self.decoder()(np.asarray(ids, np.int32), np.array([len(ids)]))[0]
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text, each without its first space mark; the mark before the text is implied."""
-    if not text:
-        return []
-    words = text.split(" ")
-    if "" in words:  # runs of spaces stay together
-        return [w[1:] for w in _WORD.findall(SPACE + text.replace(" ", SPACE))]
-    return words
+    def path(self, unit: str, table: dict | None = None) -> tuple[list[int], float]:
+        """What the lattice and its folds give for a unit, in time linear in its length (merges: but for a logarithm):
+        ids with -1 for characters without a piece, and the score of Viterbi's path."""
+        table = self.table() if table is None else table
+        ids, score = _viterbi(unit, table, self.longest)
+        return (_merges(unit, table)[0] if self.merges else ids), score
+
+    def spelled(self, unit: str, ids: list[int]) -> list[int]:
+        """ids with byte pieces in the place of -1."""
+        out, at = [], 0
+        for i in ids:
+            out += [i] if i >= 0 else [self.byte_ids[x] for x in unit[at].encode("utf-8", "replace")]
+            at += len(self.pieces[i]) if i >= 0 else 1
+        return out
+
+
+def _merges(unit: str, table: dict) -> tuple[list[int], list[tuple[float, int]]]:
+    """The pieces after all merges, best score first (ties: from the left), and (rank, place) of every merge."""
+    end, before = list(range(1, len(unit) + 1)), list(range(-1, len(unit) - 1))
+    heap, done = [], []
+
+    def offer(a: int) -> None:
+        if a >= 0 and (m := end[a]) < len(unit) and (found := table.get(unit[a : end[m]])):
+            heap.append((-found[0], a, m, end[m])) if not done else heapq.heappush(heap, (-found[0], a, m, end[m]))
+
+    for a in range(len(unit)):
+        offer(a)
+    heapq.heapify(heap)
+    while heap:
+        rank, a, m, e = heapq.heappop(heap)
+        if end[a] != m or end[m] != e:  # a part has gone into another piece
+            continue
+        done.append((rank, a))
+        end[a], end[m] = e, -1
+        if e < len(unit):
+            before[e] = a
+        offer(a)
+        offer(before[a])
+    ids, a = [], 0
+    while a < len(unit):
+        ids.append(table.get(unit[a : end[a]], (0, -1))[1])
+        a = end[a]
+    return ids, done
+
+
+def _viterbi(unit: str, table: dict, longest: int) -> tuple[list[int], float]:
+    """The path with the largest sum of scores; ties by the longer last piece, then the larger id."""
+    best: list[tuple] = [(0.0, 0, -1)]
+    for e in range(1, len(unit) + 1):
+        options = []
+        for n in range(1, min(longest, e) + 1):
+            if found := table.get(unit[e - n : e]) or ((BYTE_SCORE, -1) if n == 1 else None):
+                options.append((best[e - n][0] + found[0], n, found[1]))
+        best.append(max(options))
+    ids, e = [], len(unit)
+    while e:
+        ids.append(best[e][2])
+        e -= best[e][1]
+    return ids[::-1], best[-1][0]
+
+
+class Cutter:
+    """Cuts texts into units by whole columns. Characters that stand in a pair of some piece have small numbers."""
+
+    def __init__(self, pairs: list[str]):
+        self.pairs = pairs
+
+    def _tables(self):
+        if not hasattr(self, "kind"):  # made where they are used: most of it is zeros
+            chars = sorted({c for p in self.pairs for c in p})
+            number = {c: i + 1 for i, c in enumerate(chars)}
+            self.kind, self.n = np.zeros(0x110000, np.uint16), len(chars) + 1
+            self.kind[[ord(c) for c in chars]] = np.arange(1, self.n)
+            self.spanned = np.zeros(self.n * self.n, bool)
+            self.spanned[[number[p[0]] * self.n + number[p[1]] for p in self.pairs]] = True
+        return self.kind, self.spanned, self.n
+
+    def __getstate__(self):
+        return {"pairs": self.pairs}
+
+    def __call__(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The units of all texts in a row, and the number of units up to the end of each text. Null and empty texts
+        have none; others start with a space mark."""
+        kind, spanned, n = self._tables()
+        marked = pc.binary_join_element_wise(SPACE, pc.replace_substring(pc.fill_null(texts, ""), " ", SPACE), "")
+        marked = pc.if_else(pc.equal(pc.binary_length(pc.fill_null(texts, "")), 0), pa.scalar("", marked.type), marked)
+        offsets = np.frombuffer(marked.buffers()[1], np.int32)[marked.offset : marked.offset + len(marked) + 1].astype(np.int64)
+        lo, hi = int(offsets[0]), int(offsets[-1])
+        if lo == hi:
+            return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+        data = marked.buffers()[2].slice(lo, hi - lo)
+        raw = np.frombuffer(data, np.uint8)
+        starts = np.flatnonzero((raw & 0xC0) != 0x80).astype(np.int32)  # of characters
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[offsets - lo] = True
+        last = 0
+        for at in range(0, len(starts), 1 << 18):  # as index arrays have eight bytes a character
+            own = starts[at : at + (1 << 18)]
+            end = starts[at + len(own)] if at + len(own) < len(starts) else len(raw)
+            k = kind[np.frombuffer(raw[own[0] : end].tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")]
+            before = np.concatenate([np.array([last], np.uint16), k[:-1]])
+            cut[own] |= ~spanned[before.astype(np.int32) * n + k]
+            last = int(k[-1])
+        at = np.flatnonzero(cut).astype(np.int32)
+        units = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data)
+        return units, np.searchsorted(at, offsets[1:] - lo)
+
+
+@dataclass
+class Decoder:
+    """The bytes of all pieces."""
+
+    size: np.ndarray
+    at: np.ndarray
+    raw: np.ndarray
+
+    def __call__(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of consecutive lists of ids. Unknown and control pieces stand for nothing; broken byte runs for
+        U+FFFD. The pieces' bytes are gathered for all lists at once."""
+        n = self.size[flat]
+        to = np.cumsum(n, dtype=np.int64)
+        at = np.arange(int(to[-1]) if len(to) else 0, dtype=np.int32)  # one slice's texts; far below 2 GB
+        at += np.repeat((self.at[flat] - (to - n)).astype(np.int32), n)
+        raw, cuts = self.raw.take(at).tobytes(), np.concatenate([[0], to])[np.concatenate([[0], ends])].tolist()
+        out = [raw[a:b].decode("utf-8", "replace").replace(SPACE, " ") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [t[1:] if t[:1] == " " else t for t in out]
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """units: one string column unit, distinct and not empty. Returns (unit, ids array<int>): the best path's pieces,
-    -1 for a character without one."""
+    """units: one string column unit, distinct, not empty and of LONG characters at most. Returns (unit, ids array<int>,
+    score): the pieces, -1 for a character without one, and the score of Viterbi's path."""
     spark = units.sparkSession
     table = spark.createDataFrame([(pieces.pieces[i], i, float(pieces.scores[i])) for i in pieces.normal], "piece string, id int, score double")
     starts = units.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("start"))
     spans = starts.select("unit", "start", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length(unit) - start + 1))")).alias("n"))
     edges = spans.select("unit", (F.col("start") + F.col("n") - 1).alias("end"), "n", F.expr("substring(unit, start, n)").alias("piece")).join(F.broadcast(table), "piece", "left")
     edges = edges.where("id is not null or n = 1")  # a unit without any piece keeps its place
-    grouped = edges.groupBy(F.xxhash64("unit").alias("h"), "unit").agg(F.collect_list(F.struct((F.col("end") - F.col("n")).alias("a"), F.col("end").alias("b"), "id", "score")).alias("edges"))
-    folded = _merge_fold(grouped) if pieces.merges else _viterbi_fold(grouped)
-    return folded.select("unit", "ids")
-
-
-def _viterbi_fold(grouped: DataFrame) -> DataFrame:
-    """Unigram tables: the path with the largest sum of scores; ties by the longer last piece, then the larger id."""
-    fold = f"""aggregate(sequence(1, length(unit)), array(struct(0D as score, 0 as n, -1 as id)), (acc, e) -> concat(acc, array(array_max(transform(
-        filter(edges, x -> x.b = e),
-        x -> struct(acc[x.a].score + coalesce(x.score, {BYTE_SCORE!r}D) as score, x.b - x.a as n, coalesce(x.id, -1) as id))))))"""
-    back = """aggregate(reverse(sequence(1, length(unit))), struct(length(unit) as at, cast(array() as array<int>) as ids),
-        (s, e) -> if(s.at = e, struct(e - best[e].n as at, concat(array(best[e].id), s.ids) as ids), s), s -> s.ids)"""
-    return grouped.select("unit", F.expr(fold).alias("best")).select("unit", F.expr(back).alias("ids"))
-
-
-def _merge_fold(grouped: DataFrame) -> DataFrame:
-    """Merge tables: edges are tried from the best score down (ties: from the left), and one is taken if just two
-    parts make it up. A piece's parts have better scores than the piece, so one pass suffices. The state is where
-    parts begin: bits of a number for units of up to 62 characters, else an array of ends (0: none begins here)."""
-    bits = """aggregate(wide, shiftleft(1L, length(unit) + 1) - 1L, (s, x) ->
-        if((s & x.ab) = x.ab and bit_count(s & x.inner) = 1, s & ~x.inner, s))"""
-    short = f"""transform(array({bits}), s -> transform(filter(sort_array(edges), x ->
-        (s & (shiftleft(1L, x.a) | shiftleft(1L, x.b))) = (shiftleft(1L, x.a) | shiftleft(1L, x.b)) and (s & (shiftleft(1L, x.b) - shiftleft(2L, x.a))) = 0), x -> coalesce(x.id, -1)))[0]"""
-    ends = """aggregate(wide, transform(sequence(1, length(unit) + 1), i -> if(i > length(unit), 0, i)), (s, x) ->
-        if(s[x.a] > 0 and s[x.a] < x.b and s[s[x.a]] = x.b, transform(s, (v, i) -> case when i = x.a then x.b when i > x.a and i < x.b then 0 else v end), s))"""
-    long = f"transform(array({ends}), s -> transform(filter(sort_array(edges), x -> s[x.a] = x.b), x -> coalesce(x.id, -1)))[0]"
-    # the numbers are worked out for short units only: a shift by 63 or more would wrap
-    wide = """sort_array(transform(filter(edges, x -> x.b > x.a + 1), x -> struct(-x.score as rank, x.a as a, x.b as b,
-        if(x.b > 62, 0L, shiftleft(1L, x.a) | shiftleft(1L, x.b)) as ab, if(x.b > 62, 0L, shiftleft(1L, x.b) - shiftleft(2L, x.a)) as inner)))"""
-    return grouped.select("unit", "edges", F.expr(wide).alias("wide")).select("unit", F.expr(f"if(length(unit) <= 62, {short}, {long})").alias("ids"))
+    grouped = edges.groupBy(F.xxhash64("unit").alias("h"), "unit").agg(F.sort_array(F.collect_list(F.struct(F.col("end").alias("b"), (F.col("end") - F.col("n")).alias("a"), "id", "score"))).alias("edges"))
+    if pieces.merges:
+        return grouped.select("unit", F.expr(_MERGED).alias("ids"), F.expr(_SCORES).alias("best")).select("unit", "ids", F.expr("best[length(unit)]").alias("score"))
+    return grouped.select("unit", F.expr(_BEST).alias("best")).select("unit", F.expr(_BACK).alias("ids"), F.expr("best[length(unit)].score").alias("score"))
+
+
+def _fold(start: str, step: str) -> str:
+    """Viterbi's fold: the best way to every place of a unit. Edges come by their ends, so every place before an edge
+    has its own already; the last place is replaced if the edge does better."""
+    return f"aggregate(edges, array({start}), (best, x) -> if(size(best) = x.b, concat(best, array({step})), if(best[x.b] >= {step}, best, concat(slice(best, 1, x.b), array({step})))))"
+
+
+#: The best score at every place; and with the length of the last piece and its id (ties: the longer one, the larger id).
+_SCORES = _fold("0D", f"best[x.a] + coalesce(x.score, {BYTE_SCORE!r}D)")
+_BEST = _fold("struct(0D as score, 0 as len, -1 as id)", f"struct(best[x.a].score + coalesce(x.score, {BYTE_SCORE!r}D) as score, x.b - x.a as len, coalesce(x.id, -1) as id)")
+_BACK = """aggregate(reverse(sequence(1, length(unit))), struct(length(unit) as at, cast(array() as array<int>) as ids),
+    (s, e) -> if(s.at = e, struct(e - best[e].len as at, concat(array(best[e].id), s.ids) as ids), s), s -> s.ids)"""
+
+#: The fold of merge tables: edges of several characters are tried from the best score down (ties: from the left), and
+#: one is taken if just two parts make it up. The state is where parts begin, as the bits of a number.
+_MERGED = """transform(array(aggregate(
+    sort_array(transform(filter(edges, x -> x.b > x.a + 1), x -> struct(-x.score as rank, x.a as a, shiftleft(1L, x.a) | shiftleft(1L, x.b) as ab, shiftleft(1L, x.b) - shiftleft(2L, x.a) as inner))),
+    shiftleft(1L, length(unit) + 1) - 1L, (s, x) -> if((s & x.ab) = x.ab and bit_count(s & x.inner) = 1, s & ~x.inner, s))),
+    s -> transform(filter(edges, x -> (s & (shiftleft(1L, x.a) | shiftleft(1L, x.b))) = (shiftleft(1L, x.a) | shiftleft(1L, x.b)) and (s & (shiftleft(1L, x.b) - shiftleft(2L, x.a))) = 0), x -> coalesce(x.id, -1)))[0]"""
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of consecutive ranges."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    out = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+    out += np.repeat(starts - (ends - sizes), sizes)
+    return out
 
 
 class Dictionary:
-    """A block's units and their ids as little-endian int32."""
+    """A block's units with their ids, and the paths of long units that were looked at."""
 
     def __init__(self, pieces: Pieces, parts: list[pa.Table]):
-        self.pieces, self.known = pieces, {}
-        while parts:
-            for b in parts.pop().to_batches():
-                ids = b.column(1)
-                ends, flat = (ids.offsets.to_numpy() * 4).tolist(), ids.values.to_numpy().astype("<i4").tobytes()
-                self.known.update(zip(b.column(0).to_pylist(), [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], strict=True))
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        """The ids of each word. A unit that isn't here means that the two scans dealt rows differently, which is an
-        error, never a guess."""
-        units, ends = self.pieces.units(words)
-        raw = list(map(self.known.__getitem__, units))
-        if any(NO_PIECE in r for r in raw):
-            raw = [self._spelled(u, np.frombuffer(r, "<i4")) if NO_PIECE in r else r for u, r in zip(units, raw, strict=True)]
-        return [b"".join(raw[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
-
-    def _spelled(self, unit: str, ids: np.ndarray) -> bytes:
-        out, at = [], 0
-        for i in ids.tolist():
-            out += [i] if i >= 0 else [self.pieces.byte_ids[x] for x in unit[at].encode("utf-8", "replace")]
-            at += len(self.pieces.pieces[i]) if i >= 0 else 1
-        return np.array(out, "<i4").tobytes()
+        t = pa.concat_tables(parts).combine_chunks() if parts else None
+        self.pieces, self.table, self.long, self.held = pieces, pieces.table(), {}, 0
+        self.units = t.column("unit").chunk(0) if t is not None and len(t) else pa.array([], pa.string())
+        ids = t.column("ids").chunk(0) if len(self.units) else pa.array([], pa.list_(pa.int32()))
+        offsets = ids.offsets.to_numpy().astype(np.int64)
+        self.flat, self.at, self.size = ids.values.to_numpy(), offsets[:-1], np.diff(offsets)
+        self.score = t.column("score").to_numpy() if len(self.units) else np.zeros(0)
+
+    def __call__(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all units in a row; by unit their number, and the score of Viterbi's path. A unit that
+        isn't here means that the two scans dealt rows differently, which is an error, never a guess."""
+        at = pc.index_in(units, value_set=self.units)
+        flat, start, size, score = self.flat, self.at, self.size, self.score
+        if at.null_count:
+            place = at.fill_null(-1).to_numpy().copy()
+            missing = np.flatnonzero(place < 0)
+            found = {u: self._path(u) for u in set(units.take(pa.array(missing)).to_pylist())}
+            number = {u: len(self.units) + k for k, u in enumerate(found)}
+            place[missing] = [number[u] for u in units.take(pa.array(missing)).to_pylist()]
+            more = [np.array(ids, np.int32) for ids, _ in found.values()]
+            size = np.concatenate([size, [len(m) for m in more]]).astype(np.int64)
+            start = np.concatenate([start, len(flat) + np.cumsum([0, *map(len, more[:-1])])]).astype(np.int64)
+            flat = np.concatenate([flat, *more]).astype(np.int32)
+            score = np.concatenate([score, [s for _, s in found.values()]])
+        else:
+            place = at.to_numpy()
+        return flat[_ranges(start[place], size[place])].astype("<i4"), size[place], score[place]
+
+    def _path(self, unit: str) -> tuple[list[int], float]:
+        if self.pieces.fits(pa.array([unit]))[0].as_py():
+            raise KeyError(f"the unit {unit!r} wasn't named by the first scan")
+        if unit not in self.long:
+            ids, score = self.pieces.path(unit, self.table)
+            if self.held + len(unit) > CACHE:
+                self.long, self.held = {}, 0
+            self.long[unit], self.held = (self.pieces.spelled(unit, ids), score), self.held + len(unit)
+        return self.long[unit]
 
 
 def _same_twice(df: DataFrame) -> bool:
@@ -199,14 +327,20 @@ def _same_twice(df: DataFrame) -> bool:
     return all(re.match(r"[\s:+-]*(Project|Filter|Relation|LocalRelation|LogicalRDD)\b", x) for x in plan.splitlines())
 
 
+PACKED = "block long, late boolean, packed binary"
+DIGEST = "n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean, viterbi_score double"
+
+
 def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_out: str = "ids", digest: bool = False) -> DataFrame:
     """docs with ids_out (array<int>): the pieces of each whole text. With digest, instead of the text and the ids:
-    n_pieces, ids_sha256 (of the ids as little-endian int32), decoded_sha256 and round_trip, made from the decoded ids.
+    n_pieces, ids_sha256 (of the ids as little-endian int32), decoded_sha256 and round_trip, made from the decoded ids,
+    and viterbi_score, that of Viterbi's path (a character without a piece counts BYTE_SCORE). Columns
+    of docs with these names are kept; ours get an underscore.
 
-    Null texts have null ids (digest: n_pieces 0, null digests and round_trip), empty texts none. Repeated rows are
-    ordinary rows. A text that holds U+2581 decodes to a space there.
+    Null texts have null ids (digest: no pieces, null digests and round_trip), empty texts none. Repeated rows are
+    ordinary rows. A text that holds U+2581 decodes to a space there. A text takes memory in proportion to its length.
 
-    A task cuts its texts into blocks of BLOCK characters and names each block's distinct units once. Units are encoded
+    A task cuts its texts into blocks of BLOCK bytes and names each block's distinct units once. Units are encoded
     once over all documents, then go back to the blocks that hold them, where the texts, kept in compressed batches,
     meet their dictionary in one sorted stream: memory holds one block's dictionary. A unit has one row a block, so no
     unit is a hot key. If docs isn't a plain scan it is written to the shared folder first, as it is read twice.
@@ -215,57 +349,55 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_out: str
         docs, _ = materialise(docs, "to-encode")
     place, names = docs.columns.index(text_col), docs.columns
     keep = [i for i in range(len(names)) if not (digest and i == place)]
-
+    cutter, decoder, narrow = pieces.cutter(), pieces.decoder(), len(pieces.pieces) < 1 << 15
     part = fresh(docs, "part")[0]
 
     def blocks(batches, at):
-        """(block, batch): a block has batches of about BLOCK bytes of text, which is column `at`. The last column is
-        the number of the scan's partition; within a union the task's own number would be another."""
-        block, size = 0, 0
-        for whole in batches:
-            base = whole.column(whole.num_columns - 1)[0].as_py() << 24 if len(whole) else 0
-            whole = whole.select(list(range(whole.num_columns - 1)))
-            for i in range(0, len(whole), 1024):
-                b = whole.slice(i, 1024)
-                n = b.column(at).nbytes
-                if size and size + n > BLOCK:
-                    block, size = block + 1, 0
-                size += n
-                yield base + block, b
+        """(block, slice) of the batches; text is column `at`. A row's block follows from the bytes of text before it in
+        its task alone, as the two scans' batches may be cut differently. The last column is the number of the scan's
+        partition; within a union the task's own number would be another."""
+        total = 0
+        for b in batches:
+            if not len(b):
+                continue
+            base = b.column(b.num_columns - 1)[0].as_py() << 24
+            b = b.select(list(range(b.num_columns - 1)))
+            ends = np.cumsum(pc.binary_length(b.column(at)).fill_null(0).to_numpy(), dtype=np.int64) + total
+            starts = np.concatenate([[total], ends[:-1]])
+            cuts = (np.flatnonzero(np.diff(starts // SLICE)) + 1).tolist()
+            for s, e in zip([0, *cuts], [*cuts, len(b)], strict=True):
+                yield base + int(starts[s]) // BLOCK, b.slice(s, e - s)
+            total = int(ends[-1])
 
     def name_units(batches):
-        now, words, seen = None, set(), set()
+        now, seen, n = None, [], 0
         for block, b in blocks(batches, 0):
             if block != now:
-                yield from flush(now, words, seen)
-                now, words, seen = block, set(), set()
-            for t in b.column(0).to_pylist():
-                words.update(words_of(t))
-            if len(words) > WORDS:
-                cut(words, seen)
-        yield from flush(now, words, seen)
-
-    def cut(words, seen):
-        several = iter(words)
-        while part := list(islice(several, 20_000)):
-            seen.update(pieces.units(part)[0])
-        words.clear()
-
-    def flush(block, words, seen):
-        cut(words, seen)
-        units = list(seen)
+                yield from flush(now, seen)
+                now, seen, n = block, [], 0
+            own = cutter(b.column(0))[0].unique()
+            seen.append(own.filter(pieces.fits(own)))
+            n += len(seen[-1])
+            if n > 2 * len(seen[0]) + 100_000:
+                seen = [pa.concat_arrays(seen).unique()]
+                n = len(seen[0])
+        yield from flush(now, seen)
+
+    def flush(block, seen):
+        units = pa.concat_arrays(seen).unique() if seen else pa.array([], pa.string())
         for i in range(0, len(units), 50_000):
-            part = units[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part, pa.string())], names=["block", "unit"])
+            own = units.slice(i, 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), own], names=["block", "unit"])
 
     def squeeze(table):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
             w.write(table)
-        return sink.getvalue().to_pybytes()
+        return sink.getvalue()
 
-    def row(block, late, table):
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([late]), pa.array([squeeze(table)], pa.binary())], names=["block", "late", "packed"])
+    def row(block, is_text, table):
+        packed = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, (data := squeeze(table)).size], np.int32)), data])
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([is_text]), packed], names=["block", "late", "packed"])
 
     def pack_texts(batches):
         for block, b in blocks(batches, place):
@@ -274,73 +406,77 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_out: str
     def pack_entries(batches):
         held, n = [], 0
         for b in batches:
-            held.append(b)
+            held.append(spell(b))
             n += len(b)
-            if n > 100_000:
+            if n > 60_000:
                 yield from by_block(held)
                 held, n = [], 0
         yield from by_block(held)
 
+    def spell(b):
+        """b with byte pieces for characters without a piece, and narrow ids."""
+        ids = b.column(2)
+        bad = np.unique(np.searchsorted(ids.offsets.to_numpy(), np.flatnonzero(ids.values.to_numpy() < 0), "right") - 1)
+        if len(bad):
+            lists = ids.to_pylist()
+            for r in bad.tolist():
+                lists[r] = pieces.spelled(b.column(1)[r].as_py(), lists[r])
+            ids = pa.array(lists, ids.type)
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids.cast(pa.list_(pa.int16() if narrow else pa.int32())), b.column(3)], names=["block", "unit", "ids", "score"])
+
     def by_block(held):
         if not held:
             return
         t = pa.Table.from_batches(held).combine_chunks()
         t = t.take(np.argsort(t.column("block").to_numpy(), kind="stable"))
-        if len(pieces.pieces) < 1 << 15:  # half the bytes
-            t = t.set_column(t.schema.get_field_index("ids"), "ids", t.column("ids").cast(pa.list_(pa.int16())))
         block = t.column("block").to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
         for a, e in zip(cuts[:-1], cuts[1:], strict=True):
             if e > a:
-                yield row(int(block[a]), False, t.select(["unit", "ids"]).slice(a, e - a).combine_chunks())
+                yield row(int(block[a]), False, t.select(["unit", "ids", "score"]).slice(a, e - a).combine_chunks())
 
     def meet(batches):
-        now, parts, known, words = None, [], None, {}
+        now, parts, known = None, [], None
         for b in batches:
-            for r, (block, late) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                if block != now:
-                    now, parts, known, words = block, [], None, {}
+            for r in range(len(b)):
+                if (block := b.column(0)[r].as_py()) != now:
+                    now, parts, known = block, [], None
                 with pa.ipc.open_stream(b.column(2)[r].as_buffer()) as s:
-                    if not late:
+                    if not b.column(1)[r].as_py():
                         parts.append(s.read_all())
                         continue
                     if known is None:
                         known, parts = Dictionary(pieces, parts), []
-                    for part in s:
-                        yield finish(part, known, words)
-
-    def finish(batch, known, words):
-        texts = batch.column(place).to_pylist()
-        split = [words_of(t) for t in texts]
-        now = set().union(*split)
-        new, own = list(now - words.keys()), words
-        if len(words) > CACHE:  # words that come later are rare: they are looked up again
-            own = {w: words[w] for w in now & words.keys()}
-        for i in range(0, len(new), 20_000):
-            own.update(zip(new[i : i + 20_000], known.ids(new[i : i + 20_000]), strict=True))
-        get = own.__getitem__
-        coded = [b"".join(map(get, ws)) for ws in split]
-        cols = [batch.column(i) for i in keep]
+                    for texts in s:
+                        yield finish(texts, known)
+
+    def finish(batch, known):
+        texts = batch.column(place)
+        units, ends = cutter(texts)
+        flat, sizes, score = known(units)
+        ends = np.concatenate([[0], ends])
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[ends]  # of the texts' ids
+        cols, of = [batch.column(i) for i in keep], np.repeat(np.arange(len(batch)), np.diff(ends))
         if not digest:
-            ends = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype("<i4")
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")), mask=pa.array([t is None for t in texts]))
-            return pa.RecordBatch.from_arrays([*cols, ids], names=[*names, ids_out])
-        back = pieces.decode_all([np.frombuffer(c, "<i4") for c in coded])
-        made = [(0, None, None, None) if t is None else (len(c) // 4, hashlib.sha256(c).hexdigest(), hashlib.sha256(d.encode("utf-8", "replace")).hexdigest(), d == t) for t, c, d in zip(texts, coded, back, strict=True)]
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
-        return pa.RecordBatch.from_arrays([*cols, *(pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True))], names=[*(names[i] for i in keep), "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
+            ids = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat), mask=texts.is_null())
+            return pa.RecordBatch.from_arrays([*cols, ids], names=made)
+        back, raw, at = decoder(flat, cuts[1:]), memoryview(flat).cast("B"), (cuts * 4).tolist()
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        rows = [(None, None, None) if t is None else (sha(raw[a:e]), sha(d.encode("utf-8", "replace")), d == t) for t, a, e, d in zip(texts.to_pylist(), at[:-1], at[1:], back, strict=True)]
+        found = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.bool_()), strict=True)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(cuts)), *found, pa.array(np.bincount(of, score, len(batch)).astype(float))], names=made)
 
     schema = docs.select(*(col(names[i]) for i in keep)).schema  # of a frame of its own: add() changes it
-    if digest:
-        schema = schema.add("n_pieces", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("round_trip", "boolean")
-    else:
-        schema = schema.add(ids_out, ArrayType(IntegerType()))
+    kinds = [x.split(" ") for x in DIGEST.split(", ")] if digest else [(ids_out, ArrayType(IntegerType()))]
+    for name, (_, kind) in zip(fresh(docs.select(*(col(names[i]) for i in keep)), *(k for k, _ in kinds)), kinds, strict=True):
+        schema = schema.add(name, kind)
+    made = schema.names
+
     pairs = map_arrow(docs.select(col(text_col), F.spark_partition_id().alias(part)), name_units, "block long, unit string").repartition("unit")
     units = pairs.groupBy("unit").agg(F.max("block").alias("block")).where("block >= 0")  # reads the same shuffle as pairs
-    entries = pairs.join(lattice(units.select("unit"), pieces).hint("shuffle_hash"), "unit").select("block", "unit", "ids")
-    packed = "block long, late boolean, packed binary"
-    texts = map_arrow(docs.withColumn(part, F.spark_partition_id()), pack_texts, packed)
-    both = map_arrow(entries, pack_entries, packed).unionAll(texts)
+    entries = pairs.join(lattice(units.select("unit"), pieces).hint("merge"), "unit").select("block", "unit", "ids", "score")
+    texts = map_arrow(docs.withColumn(part, F.spark_partition_id()), pack_texts, PACKED)
+    both = map_arrow(entries, pack_entries, PACKED).unionAll(texts)
     # several times as many partitions as blocks: a task then has a block or two, and small Arrow batches
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     size = size if size < 1 << 60 else 0  # not known
@@ -349,16 +485,17 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_out: str
 
 
 def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "ids", text_out: str = "text") -> DataFrame:
-    """docs with text_out, the text of its ids; null ids give null."""
-    place, names = docs.columns.index(ids_col), [*docs.columns, text_out]
+    """docs with the text of its ids in text_out, which gets an underscore if docs has such a column; null ids give null."""
+    place, names, decoder = docs.columns.index(ids_col), [*docs.columns, *fresh(docs, text_out)], pieces.decoder()
 
     def run(batches):
         for b in batches:
-            given = b.column(place).to_pylist()
-            texts = [None if x is None else t for x, t in zip(given, pieces.decode_all([x or [] for x in given]), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
+            given = b.column(place)
+            sizes = pc.list_value_length(given).fill_null(0).to_numpy()
+            texts = decoder(given.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(sizes))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string(), mask=given.is_null().to_numpy(zero_copy_only=False))], names=names)
 
-    return map_arrow(docs, run, docs.withColumn(text_out, F.lit(None).cast("string")).schema)
+    return map_arrow(docs, run, docs.withColumn(names[-1], F.lit(None).cast("string")).schema)
 
 
 def digests(spark: SparkSession, docs: DataFrame, path: str = MODEL) -> DataFrame:
