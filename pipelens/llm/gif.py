@@ -17,6 +17,7 @@ from pipelens.llm._shared import col, map_arrow
 ROW = 64  # samples a row of a stored payload
 ROWS = 4096  # rows a frame at most; a longer payload takes several frames
 DELAY = 4  # hundredths of a second a frame
+LARGEST = 1 << 26  # samples of a canvas or a frame that are decoded; a header may claim 4 GB
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 
 
@@ -77,19 +78,21 @@ def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
     words = np.frombuffer(stream + b"\0" * 8, np.uint8).astype(np.uint32)
     words = words[:-3] | words[1:-2] << 8 | words[2:-1] << 16
     total, at, out, made = len(stream) * 8, 0, [], 0
-    # Between two clear codes the widths depend on the number of codes alone: read up to a full table at once.
+    # Between two clear codes the widths depend on the number of codes alone: read up to a full table at once, and
+    # after that, where the clear code is deferred, the same number of codes of 12 bits at a time.
     n = np.arange(1 << 13)
     width = np.minimum(12, np.maximum(bits + 1, np.ceil(np.log2(np.maximum(clear + 2 + n, 2))).astype(np.int64)))
     width[n + clear + 2 > (1 << 12)] = 12
-    offset = np.concatenate([[0], np.cumsum(width)])
-    while at + bits + 1 <= total and made < most:
+    full = np.full(len(width), 12)
+    growing, deferred = np.concatenate([[0], np.cumsum(width)]), np.concatenate([[0], np.cumsum(full)])
+    table, last, offset = roots.copy(), None, growing
+    while at + (bits + 1 if offset is growing else 12) <= total and made < most:
         k = int(np.searchsorted(offset, total - at, side="right")) - 1
         pos = at + offset[:k]
-        codes = (words[pos >> 3] >> (pos & 7).astype(np.uint32)) & ((1 << width[:k]) - 1).astype(np.uint32)
+        codes = (words[pos >> 3] >> (pos & 7).astype(np.uint32)) & ((1 << (width if offset is growing else full)[:k]) - 1).astype(np.uint32)
         stop = np.flatnonzero((codes == clear) | (codes == end))
         k = int(stop[0]) if len(stop) else k
-        table, last = roots.copy(), None
-        append, emit = table.append, out.append
+        first, append, emit = len(out), table.append, out.append
         for code in codes[:k].tolist():
             if last is None:
                 last = table[code] if code < clear else _bad(code)
@@ -104,15 +107,17 @@ def lzw_decode(stream: bytes, bits: int, most: int) -> bytes:
             else:
                 _bad(code)
             emit(last)
-        made = most if k and sum(map(len, out)) >= most else made
+        made += sum(map(len, out[first:]))
         if not len(stop):
             at += int(offset[k])
             if k < len(width):
                 break
-            raise ValueError("a table is never cleared")
+            offset = deferred
+            continue
         at += int(offset[k + 1])
         if int(codes[k]) == end:
             break
+        table, last, offset = roots.copy(), None, growing
     return b"".join(out)[:most]
 
 
@@ -145,11 +150,14 @@ def encode(frames: list[np.ndarray], palette: bytes = GREY, delay: int = DELAY)
 def decode(data: bytes, render: bool = True) -> list[Frame]:
     """The frames of a GIF with their times. Disposal: 0 and 1 leave a frame, 2 clears its area, 3 restores what was
     there before. Transparent samples leave what is below. Interlaced rows are put in order. A frame without a palette
-    of its own takes the global one, and grey levels if there is none. render=False leaves the canvases out."""
+    of its own takes the global one, and grey levels if there is none. A canvas or frame of over LARGEST samples is an
+    error. render=False leaves the canvases out."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
     at, globe = 13, None
+    if width * height > LARGEST:
+        raise ValueError(f"a canvas of {width} x {height}")
     if flags & 0x80:
         globe = data[at : at + 3 * (2 << (flags & 7))]
         at += len(globe)
@@ -179,6 +187,8 @@ def decode(data: bytes, render: bool = True) -> list[Frame]:
             raise ValueError(f"unknown block {kind}")
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at)
         at += 9
+        if w * h > LARGEST:
+            raise ValueError(f"a frame of {w} x {h}")
         own = globe
         if flags & 0x80:
             own = data[at : at + 3 * (2 << (flags & 7))]
@@ -213,11 +223,13 @@ def decode(data: bytes, render: bool = True) -> list[Frame]:
 
 def histogram(frames: list[Frame], bins: int = 4) -> list[int]:
     """Counts of seen colours over all frames, in bins ** 3 cells by red, green and blue; transparent samples don't count."""
-    out = np.zeros(bins**3, np.int64)
+    out = np.zeros(bins**3 + 1, np.int64)  # the last cell: transparent
+    level = (np.arange(256) * bins // 256).astype(np.int32)
+    cells = level * (bins * bins), level * bins, level
     for f in frames:
-        px = f.canvas[f.canvas[:, :, 3] > 0][:, :3].astype(np.int64) * bins // 256
-        out += np.bincount(px @ np.array([bins * bins, bins, 1]), minlength=bins**3)
-    return out.tolist()
+        at = cells[0][f.canvas[:, :, 0]] + cells[1][f.canvas[:, :, 1]] + cells[2][f.canvas[:, :, 2]]
+        out += np.bincount(np.where(f.canvas[:, :, 3] > 0, at, bins**3).ravel(), minlength=bins**3 + 1)
+    return out[:-1].tolist()
 
 
 FRAMES = "frame int, start_cs int, delay_cs int, height int, width int, indices binary, histogram array<long>"
@@ -255,14 +267,19 @@ def store_bytes(payload: bytes) -> bytes:
 
 
 def load_bytes(media: bytes) -> tuple[bytes, list[Frame]]:
-    frames = decode(media, render=False)
+    """The stored samples, and the frames as they are seen."""
+    frames = decode(media)
     return b"".join(f.indices.tobytes() for f in frames), frames
 
 
-def _feature(frames: list[Frame]) -> str:
-    """Frames, playing time and the sixteen-level histogram of the samples (grey palette: of the colours seen)."""
-    levels = sum(np.bincount(f.indices.ravel() >> 4, minlength=16) for f in frames)
-    return f"frames={len(frames)};cs={sum(f.delay for f in frames)};grey={','.join(map(str, levels.tolist()))}"
+def _feature(frames: list[Frame], bins: int = 16) -> str:
+    """Every frame's time and the histogram of the colours seen in it, `bins` levels of each channel; empty cells are
+    left out: start+delay:cell=count,... by frame."""
+    rows = []
+    for f in frames:
+        counts = np.array(histogram([f], bins))
+        rows.append(f"{f.start}+{f.delay}:" + ",".join(f"{c:03x}={counts[c]}" for c in np.flatnonzero(counts).tolist()))
+    return f"frames={len(frames)};" + ";".join(rows)
 
 
 def as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
@@ -270,7 +287,8 @@ def as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
     The payload is the text's UTF-8 (null: empty) and zero bytes up to a positive multiple of ROW. Returns id_col,
     n_bytes (unpadded), payload_bytes, payload_sha256 and tail_crc32 (last ROW bytes) of what is read back, media_bytes
-    and media_sha256 of the GIF, feature, and with keep_media the GIF itself. Equal texts give equal values; rows are
+    and media_sha256 of the GIF, feature (of the rendered frames: times and colour histograms), and with keep_media the GIF
+    itself, of which decode_frames makes a row a frame. Equal texts give equal values; rows are
     independent, so null ids and repeated rows are ordinary rows. A text takes memory in proportion to its own length.
     """
     kind = docs.schema[id_col].dataType.simpleString()

@@ -10,16 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipelens.llm._shared import col, map_arrow
+from pipelens.llm._shared import col, fresh, map_arrow
 
 WINDOW = 256  # bytes pooled together
 WIDTHS = (2, 4)  # of the filters, in bytes
 FILTERS = 16  # of each width
 EMBED = 8
-SAMPLE = 1500  # labelled rows a language that the network is fitted on, about; the documented bound
-CROP = 600  # characters taken from each of them
-STEPS = 1200  # of training, however many rows there are
-MAX_LANGS = 512
+SAMPLE = 1500  # labelled rows a language that the network is fitted on, about, by their whole texts; the documented bound
+ROWS = 24_000  # of all languages together: with many of them, each has fewer rows
+STEPS = 1200  # of training at least; more if the rows have more windows than that
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -47,31 +46,38 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[str, str]], steps: int = STEPS, batch: int = 64, seed: int = 7) -> Model | None:
-    """rows: (text, language), already bounded and in a fixed order. Adam on cross-entropy; texts are cropped to
-    random lengths so that short texts count too. None without rows."""
+    """rows: (text, language), already bounded and in a fixed order. Adam on cross-entropy over every window of every
+    text, `steps` batches at least; windows are shifted and cut to random lengths so that short texts count too. None
+    without rows."""
     if not rows:
         return None
     rng = np.random.default_rng(seed)
     langs = sorted({lang for _, lang in rows})
-    y = np.array([langs.index(lang) for _, lang in rows])
+    number = {lang: k for k, lang in enumerate(langs)}
     raw = [np.frombuffer(t.lower().encode("utf-8", "replace"), np.uint8) for t, _ in rows]
     reach = WINDOW + max(WIDTHS) - 1
     n_pool = len(WIDTHS) * FILTERS
     p = {"embed": rng.normal(0, 0.5, (256, EMBED)), "bias": np.zeros(n_pool), "out": rng.normal(0, 0.1, (n_pool, len(langs))), "out_bias": np.zeros(len(langs))}
     p |= {f"w{w}": rng.normal(0, (2 / (w * EMBED)) ** 0.5, (w * EMBED, FILTERS)) for w in WIDTHS}
     p["embed"][0] = 0
+    wins = np.array([max(1, -(-len(r) // WINDOW)) for r in raw])
+    row = np.repeat(np.arange(len(raw)), wins)
+    at_window = (np.arange(len(row)) - np.repeat(np.cumsum(wins) - wins, wins)) * WINDOW
+    y = np.array([number[lang] for _, lang in rows])[row]
+    steps = max(steps, -(-len(row) // batch))
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     while step < steps:
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(row))
         for at in range(0, len(order), batch):
             if step == steps:
                 break
             ids = order[at : at + batch]
             x = np.zeros((len(ids), reach), np.uint8)
             for r, i in enumerate(ids):
-                take = min(len(raw[i]), WINDOW if rng.random() < 0.4 else int(rng.integers(8, WINDOW + 1)))
-                start = int(rng.integers(0, len(raw[i]) - take + 1))
-                x[r, :take] = raw[i][start : start + take]
+                text = raw[row[i]]
+                take = min(len(text), WINDOW if rng.random() < 0.4 else int(rng.integers(8, WINDOW + 1)))
+                start = min(len(text) - take, max(0, int(at_window[i]) + int(rng.integers(0, WINDOW)) - take // 2))
+                x[r, :take] = text[start : start + take]
             e = p["embed"][x]
             pooled, where, shifted = [], [], {}
             for k, w in enumerate(WIDTHS):
@@ -106,19 +112,17 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, batch: int = 64, seed
 
 
 def sampled(docs: DataFrame, key: Column, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """(text, language) of about `sample` rows of each language, chosen by the hash of key; null texts and languages don't count.
-    All rows are counted by language; only the crops of the chosen rows reach the driver."""
+    """(text, language) of about `sample` rows of each language, or an equal share of ROWS if that is less, chosen by
+    the hash of key; null texts and languages don't count. All rows are counted by language; the whole texts of the
+    chosen rows reach the driver."""
     labelled = docs.where(col(text_col).isNotNull() & col(lang_col).isNotNull()).select(col(text_col).alias("text"), col(lang_col).alias("lang"), key.alias("key"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages; is {lang_col} a language column?")
-    if not counts:
+    counts = labelled.groupBy("lang").count()
+    if not (langs := counts.count()):
         return []
-    limit = F.coalesce(*(F.when(F.col("lang") == k, F.lit(int(min(1.0, sample / n) * 2**30))) for k, n in counts.items()))
-    chosen = labelled.where(F.pmod(F.xxhash64("key", F.lit("language sample")), F.lit(2**30)) < limit)
-    start = F.pmod(F.xxhash64("key", F.lit("crop")), F.greatest(F.length("text") - CROP, F.lit(0)) + 1) + 1
-    rows = chosen.select(F.substring(F.col("text"), start.cast("int"), F.lit(CROP)).alias("text"), "lang").collect()
-    return sorted((r["text"], r["lang"]) for r in rows)
+    share = F.least(F.lit(1.0), F.lit(max(1, min(sample, ROWS // langs))) / F.col("count"))
+    chosen = labelled.join(counts, "lang").where(F.pmod(F.xxhash64("key", F.lit("language sample")), F.lit(2**30)) < share * 2**30)
+    got = chosen.select("text", "lang").toArrow()
+    return sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
 
 
 def fit(docs: DataFrame, key: Column, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
@@ -131,21 +135,25 @@ class Scorer:
         self.model, (self.first, self.second) = model, model.tables()
 
     def windows(self, flat: np.ndarray) -> np.ndarray:
-        """Log probabilities (window, language) of consecutive windows; flat has whole windows and max(WIDTHS) zeros after."""
-        n, out, step = (len(flat) - max(WIDTHS)) // WINDOW, [], 64
+        """Log probabilities (window, language) of consecutive windows; flat has whole windows and max(WIDTHS) zeros
+        after. Only elementwise steps and maxima: a window's result doesn't depend on the windows beside it."""
+        n, step = (len(flat) - max(WIDTHS)) // WINDOW, 64
         pairs = (flat[:-1].astype(np.uint16) << 8) | flat[1:]
+        h = np.zeros((n, len(WIDTHS) * FILTERS), np.float32)
         for w in range(0, n, step):
             a, k = w * WINDOW, min(step, n - w)
             r = self.first.take(pairs[a : a + k * WINDOW], axis=0)
             r[:, FILTERS:] += self.second.take(pairs[a + 2 : a + 2 + k * WINDOW], axis=0)
-            h = np.maximum(r.reshape(k, WINDOW, -1).max(axis=1), 0)
-            z = h @ self.model.out + self.model.out_bias
-            z -= z.max(axis=1, keepdims=True)
-            out.append(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))
-        return np.concatenate(out)
+            np.maximum(r.reshape(k, WINDOW, -1).max(axis=1), 0, out=h[w : w + k])
+        z = np.repeat(self.model.out_bias[None], n, axis=0)
+        for k, weights in enumerate(self.model.out):  # a matrix product may add in another order for another shape
+            z += h[:, k : k + 1] * weights
+        z -= z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Every text's language and its probability: the mean log probability over all its windows, by their bytes, normalised."""
+        """Every text's language and its probability: the mean log probability over all its windows, by their bytes,
+        normalised. Zero bytes part the texts, as filters read on past a window's end."""
         langs, scores = [UND] * len(texts), [0.0] * len(texts)
         at, parts = [], []
         for i, t in enumerate(texts):
@@ -154,12 +162,11 @@ class Scorer:
                 parts.append(t.lower().encode("utf-8", "replace"))
         for lo, hi in _runs([len(b) for b in parts], 1 << 22):
             sizes = np.array([len(b) for b in parts[lo:hi]])
-            wins = -(-sizes // WINDOW)
+            wins = -(-(sizes + max(WIDTHS) - 1) // WINDOW)
             flat = np.frombuffer(b"".join(b.ljust(int(k) * WINDOW, b"\0") for b, k in zip(parts[lo:hi], wins, strict=True)) + b"\0" * max(WIDTHS), np.uint8)
             logp, first = self.windows(flat), np.concatenate([[0], np.cumsum(wins)[:-1]])
-            weight = np.full(len(logp), WINDOW, float)
-            weight[first + wins - 1] = sizes - (wins - 1) * WINDOW
-            p = _softmax(np.add.reduceat(logp * weight[:, None], first, axis=0) / sizes[:, None])
+            left = np.repeat(sizes, wins) - (np.arange(len(logp)) - np.repeat(first, wins)) * WINDOW
+            p = _softmax(np.add.reduceat(logp * np.clip(left, 0, WINDOW)[:, None], first, axis=0) / sizes[:, None])
             best = p.argmax(axis=1)
             for r, i in enumerate(at[lo:hi]):
                 langs[i], scores[i] = self.model.langs[best[r]], float(p[r, best[r]])
@@ -180,7 +187,9 @@ def _runs(sizes: list[int], most: int):
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """docs with a predicted language and its score (0 to 1). Null texts and texts without a letter are `und` with
-    score 0, as is every text if there was nothing to learn from. Other columns pass as they are."""
+    score 0, as is every text if there was nothing to learn from. A text's result depends on nothing but the text. Other
+    columns pass as they are; if docs has our names, ours get an underscore."""
+    lang_out, score_out = fresh(docs, lang_out, score_out)
     schema = docs.select("*", F.lit("").alias(lang_out), F.lit(0.0).alias(score_out)).schema
     place, names = docs.columns.index(text_col), [*docs.columns, lang_out, score_out]
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import os
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,13 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from pipelens.llm._shared import col, fresh, map_arrow, materialise
+from pipelens.llm import blocks
+from pipelens.llm._shared import col, fresh, map_arrow
 
 SPACE = "▁"
 MODEL = os.path.join(os.environ.get("PIPELENS_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
 BYTE_SCORE = -1e12  # below every path of pieces
-BLOCK = 32 << 20  # bytes of text that share one dictionary in a worker's memory
-SLICE = 2 << 20  # bytes of text that are cut at once; divides BLOCK
 LONG = 62  # characters of the longest unit that the lattice takes: the merge fold's state is the bits of a number
 LATE = 32  # late pieces that units are searched for; with more of them, every unit is folded where it stands
 CACHE = 100_000  # characters of long units whose paths a task keeps
@@ -284,7 +282,7 @@ class Dictionary:
     def __init__(self, pieces: Pieces, parts: list[pa.Table]):
         t = pa.concat_tables(parts).combine_chunks() if parts else None
         self.pieces, self.table, self.long, self.held = pieces, pieces.table(), {}, 0
-        self.units = t.column("unit").chunk(0) if t is not None and len(t) else pa.array([], pa.string())
+        self.units = t.column("part").chunk(0) if t is not None and len(t) else pa.array([], pa.string())
         ids = t.column("ids").chunk(0) if len(self.units) else pa.array([], pa.list_(pa.int32()))
         offsets = ids.offsets.to_numpy().astype(np.int64)
         self.flat, self.at, self.size = ids.values.to_numpy(), offsets[:-1], np.diff(offsets)
@@ -321,13 +319,6 @@ class Dictionary:
         return self.long[unit]
 
 
-def _same_twice(df: DataFrame) -> bool:
-    """Whether two scans of df deal its rows to the same partitions: nothing but projections and filters of a source."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return all(re.match(r"[\s:+-]*(Project|Filter|Relation|LocalRelation|LogicalRDD)\b", x) for x in plan.splitlines())
-
-
-PACKED = "block long, late boolean, packed binary"
 DIGEST = "n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean, viterbi_score double"
 
 
@@ -340,78 +331,19 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_out: str
     Null texts have null ids (digest: no pieces, null digests and round_trip), empty texts none. Repeated rows are
     ordinary rows. A text that holds U+2581 decodes to a space there. A text takes memory in proportion to its length.
 
-    A task cuts its texts into blocks of BLOCK bytes and names each block's distinct units once. Units are encoded
-    once over all documents, then go back to the blocks that hold them, where the texts, kept in compressed batches,
-    meet their dictionary in one sorted stream: memory holds one block's dictionary. A unit has one row a block, so no
-    unit is a hot key. If docs isn't a plain scan it is written to the shared folder first, as it is read twice.
+    Units are encoded once over all documents, then meet the texts that hold them (`blocks`).
     """
-    if not _same_twice(docs):
-        docs, _ = materialise(docs, "to-encode")
     place, names = docs.columns.index(text_col), docs.columns
     keep = [i for i in range(len(names)) if not (digest and i == place)]
     cutter, decoder, narrow = pieces.cutter(), pieces.decoder(), len(pieces.pieces) < 1 << 15
-    part = fresh(docs, "part")[0]
 
-    def blocks(batches, at):
-        """(block, slice) of the batches; text is column `at`. A row's block follows from the bytes of text before it in
-        its task alone, as the two scans' batches may be cut differently. The last column is the number of the scan's
-        partition; within a union the task's own number would be another."""
-        total = 0
-        for b in batches:
-            if not len(b):
-                continue
-            base = b.column(b.num_columns - 1)[0].as_py() << 24
-            b = b.select(list(range(b.num_columns - 1)))
-            ends = np.cumsum(pc.binary_length(b.column(at)).fill_null(0).to_numpy(), dtype=np.int64) + total
-            starts = np.concatenate([[total], ends[:-1]])
-            cuts = (np.flatnonzero(np.diff(starts // SLICE)) + 1).tolist()
-            for s, e in zip([0, *cuts], [*cuts, len(b)], strict=True):
-                yield base + int(starts[s]) // BLOCK, b.slice(s, e - s)
-            total = int(ends[-1])
-
-    def name_units(batches):
-        now, seen, n = None, [], 0
-        for block, b in blocks(batches, 0):
-            if block != now:
-                yield from flush(now, seen)
-                now, seen, n = block, [], 0
-            own = cutter(b.column(0))[0].unique()
-            seen.append(own.filter(pieces.fits(own)))
-            n += len(seen[-1])
-            if n > 2 * len(seen[0]) + 100_000:
-                seen = [pa.concat_arrays(seen).unique()]
-                n = len(seen[0])
-        yield from flush(now, seen)
-
-    def flush(block, seen):
-        units = pa.concat_arrays(seen).unique() if seen else pa.array([], pa.string())
-        for i in range(0, len(units), 50_000):
-            own = units.slice(i, 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), own], names=["block", "unit"])
-
-    def squeeze(table):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
-            w.write(table)
-        return sink.getvalue()
-
-    def row(block, is_text, table):
-        packed = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, (data := squeeze(table)).size], np.int32)), data])
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([is_text]), packed], names=["block", "late", "packed"])
-
-    def pack_texts(batches):
-        for block, b in blocks(batches, place):
-            yield row(block, True, b)
-
-    def pack_entries(batches):
-        held, n = [], 0
-        for b in batches:
-            held.append(spell(b))
-            n += len(b)
-            if n > 60_000:
-                yield from by_block(held)
-                held, n = [], 0
-        yield from by_block(held)
+    def named(texts):
+        units = cutter(texts)[0].unique()
+        return units.filter(pieces.fits(units))
+
+    def known(pairs):
+        units = pairs.groupBy("part").agg(F.max("block").alias("block")).where("block >= 0")  # reads the same shuffle as pairs
+        return pairs.join(lattice(units.select(F.col("part").alias("unit")), pieces).withColumnRenamed("unit", "part").hint("merge"), "part").select("block", "part", "ids", "score")
 
     def spell(b):
         """b with byte pieces for characters without a piece, and narrow ids."""
@@ -422,38 +354,12 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_out: str
             for r in bad.tolist():
                 lists[r] = pieces.spelled(b.column(1)[r].as_py(), lists[r])
             ids = pa.array(lists, ids.type)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids.cast(pa.list_(pa.int16() if narrow else pa.int32())), b.column(3)], names=["block", "unit", "ids", "score"])
-
-    def by_block(held):
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        t = t.take(np.argsort(t.column("block").to_numpy(), kind="stable"))
-        block = t.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-        for a, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if e > a:
-                yield row(int(block[a]), False, t.select(["unit", "ids", "score"]).slice(a, e - a).combine_chunks())
-
-    def meet(batches):
-        now, parts, known = None, [], None
-        for b in batches:
-            for r in range(len(b)):
-                if (block := b.column(0)[r].as_py()) != now:
-                    now, parts, known = block, [], None
-                with pa.ipc.open_stream(b.column(2)[r].as_buffer()) as s:
-                    if not b.column(1)[r].as_py():
-                        parts.append(s.read_all())
-                        continue
-                    if known is None:
-                        known, parts = Dictionary(pieces, parts), []
-                    for texts in s:
-                        yield finish(texts, known)
-
-    def finish(batch, known):
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids.cast(pa.list_(pa.int16() if narrow else pa.int32())), b.column(3)], names=["block", "part", "ids", "score"])
+
+    def finish(batch, dictionary):
         texts = batch.column(place)
         units, ends = cutter(texts)
-        flat, sizes, score = known(units)
+        flat, sizes, score = dictionary(units)
         ends = np.concatenate([[0], ends])
         cuts = np.concatenate([[0], np.cumsum(sizes)])[ends]  # of the texts' ids
         cols, of = [batch.column(i) for i in keep], np.repeat(np.arange(len(batch)), np.diff(ends))
@@ -472,16 +378,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_out: str
         schema = schema.add(name, kind)
     made = schema.names
 
-    pairs = map_arrow(docs.select(col(text_col), F.spark_partition_id().alias(part)), name_units, "block long, unit string").repartition("unit")
-    units = pairs.groupBy("unit").agg(F.max("block").alias("block")).where("block >= 0")  # reads the same shuffle as pairs
-    entries = pairs.join(lattice(units.select("unit"), pieces).hint("merge"), "unit").select("block", "unit", "ids", "score")
-    texts = map_arrow(docs.withColumn(part, F.spark_partition_id()), pack_texts, PACKED)
-    both = map_arrow(entries, pack_entries, PACKED).unionAll(texts)
-    # several times as many partitions as blocks: a task then has a block or two, and small Arrow batches
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = size if size < 1 << 60 else 0  # not known
-    parts = min(100_000, 4 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BLOCK))
-    return map_arrow(both.repartition(parts, "block").sortWithinPartitions("block", "late"), meet, schema)
+    return blocks.meet(docs, text_col, named, known, lambda tables: Dictionary(pieces, tables), finish, schema, spell)
 
 
 def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "ids", text_out: str = "text") -> DataFrame:

@@ -18,26 +18,29 @@ BLOCKS = 4  # 64 bits in so many blocks; a tile has one population count for eac
 TILE = 4096  # fingerprints compared at once with as many others
 
 
-def fingerprint(text: str | None) -> int:
-    """Bit b is set if bit b is set in over half of the shingles' XXH64. Zero without a word."""
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 of all shingles, repeats included; a text of fewer words is one shingle, one without a word has none."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
-    flat, ends, at = b" ".join(words), [], 0
-    for w in words:
-        at += len(w)
-        ends.append(at)
-        at += 1
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    last = ends[min(SHINGLE, len(ends)) - 1 :]
-    view, digest = memoryview(flat), xxhash.xxh64_intdigest
-    h = np.array([digest(view[a:b], SEED) for a, b in zip(starts, last, strict=False)], np.uint64)
+        return np.zeros(0, np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+    view, digest = memoryview(b" ".join(words)), xxhash.xxh64_intdigest
+    last = ends[min(shingle, len(ends)) - 1 :]
+    return np.array([digest(view[a : b - 1], SEED) for a, b in zip([0, *ends], last, strict=False)], np.uint64)
+
+
+def fold(h: np.ndarray) -> int:
+    """Bit b is set if bit b is set in over half of the hashes. Zero without any."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 65536):
         ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return fold(hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", out: str = "fp") -> DataFrame:
     """The columns `keep` of docs and out (long, the fingerprint's bits as a signed number)."""
     picked = docs.select(*(col(c) for c in keep), col(text_col).alias("text" if "text" not in keep else fresh(docs, "text")[0]))
@@ -178,7 +181,8 @@ def links(fps: DataFrame) -> DataFrame:
         if us:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us).view(np.int64)), pa.array(np.concatenate(vs).view(np.int64))], names=["u", "v"])
 
-    dealt = map_arrow(fps, deal, "pair long, side byte, fp long")
+    # by their own shuffle: few small files would be few tasks
+    dealt = map_arrow(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"), deal, "pair long, side byte, fp long")
     return map_arrow(dealt.repartition("pair").sortWithinPartitions("pair"), meet, "u long, v long")
 
 
@@ -202,5 +206,22 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.join(named, F.col(own) == F.col(node), "left").select(col(id_col), F.col(own).alias("fp"), "component_id")
 
 
+def group_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, component_id) for every row of docs, where texts link if their sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more (`shingle_sets`, which says what becomes of odd rows). Fingerprints of these shingles
+    that differ in RADIUS bits at most give the first candidates, which are then compared by their whole sets. A few
+    edits change more bits than that, so pairs which no fingerprint has brought together are found by shared shingles."""
+    from pipelens.llm import shingle_sets
+
+    def candidates(marks: DataFrame) -> DataFrame:
+        least = marks.groupBy("fp").agg(F.min("node").alias("first"))
+        near = links(least.select("fp"))
+        far = near.join(least.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+        same = marks.join(least, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+        return same.unionAll(far.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+
+    return shingle_sets.group(docs, id_col, text_col, candidates)
+
+
 def near_dups(spark, docs: DataFrame) -> DataFrame:
     return group(docs.select("doc_id", "text")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -32,6 +32,52 @@ def test_lzw_round_trips(bits):
         gif.lzw_decode(gif._pack(np.array([256, 65, 400], np.uint32), np.array([9, 9, 9])), 8, 10)
 
 
+def test_lzw_with_a_deferred_clear_code():
+    """A writer may go on with a full table: 12 bits a code, and nothing is added."""
+    rng = random.Random(3)
+    data = bytes(rng.randrange(256) for _ in range(30_000))
+    table, codes, w, size, width = {bytes([i]): i for i in range(256)}, [(256, 9)], b"", 258, 9
+    for k in range(len(data)):
+        x = data[k : k + 1]
+        if w + x in table:
+            w += x
+            continue
+        codes.append((table[w], width))
+        if size < 4096:
+            table[w + x] = size
+            size += 1
+            if size > 1 << width and width < 12:
+                width += 1
+        w = x
+    codes += [(table[w], width), (257, width)]
+    assert len(codes) > 3 * 8192
+    stream = gif._pack(*(np.array(c, t) for c, t in zip(zip(*codes), (np.uint32, np.int64))))
+    assert gif.lzw_decode(stream, 8, len(data)) == data
+
+
+def test_headers_that_claim_too_much(spark):
+    import struct
+
+    wide = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+    frame = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x08\0\x3b"
+    rows = gif.decode_frames(spark.createDataFrame([(1, bytearray(wide)), (2, bytearray(frame))], "id int, media binary")).collect()
+    assert [r["frame"] for r in rows] == [None, None] and all("65535" in r["error"] for r in rows)
+
+
+def test_feature_is_that_of_the_colours_seen():
+    from collections import Counter
+
+    payload = bytes(i * i % 251 for i in range(64 * 5000))
+    canvas, want, frames = {}, [], 0
+    for at in range(0, len(payload), 64 * gif.ROWS):
+        for k, x in enumerate(payload[at : at + 64 * gif.ROWS]):
+            canvas[k] = x  # a shorter frame leaves what is below it
+        cells = Counter(x // 16 * 0x111 for x in canvas.values())
+        want.append(f"{frames * gif.DELAY}+{gif.DELAY}:" + ",".join(f"{c:03x}={n}" for c, n in sorted(cells.items())))
+        frames += 1
+    assert frames == 2 and gif._feature(gif.load_bytes(gif.store_bytes(payload))[1]) == "frames=2;" + ";".join(want)
+
+
 def test_disposal_transparency_offsets_and_times():
     import struct
 
@@ -143,13 +189,55 @@ def test_rabitq_estimates_are_unbiased_and_bounded():
     v[200:] = v[:200] * 0.9 + rng.normal(size=(200, 64)) * 0.4
     rows = np.zeros(400, rabitq.row_type(64, "<f4", len(turn)))
     rows["key"], rows["v"], rows["norm"] = np.arange(400), v, np.linalg.norm(v.astype(float), axis=1)
-    rabitq.encode(v.astype(float), rows["norm"], turn, rows)
+    rabitq.encode(v.astype(float), turn, rows)
     a, b = rows[:200], rows[200:]
-    value, width = rabitq.estimate(a, b)
+    value, width = (rabitq.signs(a) * rabitq.levels(b)).sum(1), rabitq.width(a["fit"], b["step"], len(turn))
     true = (a["v"].astype(float) * b["v"]).sum(1) / a["norm"] / b["norm"]
     assert abs((value - true).mean()) < 0.02 and (abs(value - true) <= width).all() and width.mean() < 0.6
 
 
+def test_rabitq_bounds_lose_no_pair():
+    """Recall over many planted pairs just above the threshold: all of them are computed exactly."""
+    rng = np.random.default_rng(5)
+    turn, n = rabitq.rotation(64), 4000
+    a = rng.normal(size=(n, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    side = rng.normal(size=(n, 64))
+    side -= (side * a).sum(1)[:, None] * a
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cos = rng.uniform(0.9001, 0.93, (n, 1))
+    rows = np.zeros(2 * n, rabitq.row_type(64, "<f8", len(turn)))
+    rows["key"], rows["v"] = np.arange(2 * n), np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * side])
+    rows["norm"] = np.linalg.norm(rabitq.scaled(rows["v"]), axis=1)
+    rabitq.encode(rabitq.scaled(rows["v"]), turn, rows)
+    i, j, exact = rabitq.tile_links(rows[:n], rows[n:], 0.9)
+    assert {(k, k) for k in range(n)} <= set(zip(i.tolist(), j.tolist())) and exact < n * n / 50
+    own = set(zip(*(x.tolist() for x in rabitq.tile_links(rows, None, 0.9)[:2])))
+    assert {(k, n + k) for k in range(n)} <= own and all(x < y for x, y in own)
+
+
+def test_embedding_sizes_of_components(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(8, 20))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base * 1e200, base * 1e-200, base * 1e-310, -base]))]
+    got = {r["vec_id"]: r for r in rabitq.near_dups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(32)] == [(2, i % 8) for i in range(24)] + [(0, i) for i in range(24, 32)]
+
+
+def test_embedding_tiles_lose_no_link(monkeypatch, spark):
+    monkeypatch.setattr(rabitq, "TILE", 9)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(40, 12))
+    v = np.concatenate([base, base + rng.normal(size=base.shape) * 0.2, base[:20] * 3])
+    got = {r["vec_id"]: r for r in rabitq.near_dups(spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    x = v / np.linalg.norm(v, axis=1)[:, None]
+    hit = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    comp = np.arange(len(x))
+    for _ in range(len(x)):
+        comp = np.minimum(comp, np.where(hit, comp[None], 10**6).min(1))
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(v))] == [(hit[i].sum(), comp[i]) for i in range(len(v))]
+
+
 def test_embedding_links_against_brute_force(spark):
     rng = np.random.default_rng(9)
     base = rng.normal(size=(60, 16))

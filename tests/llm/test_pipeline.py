@@ -4,7 +4,8 @@ import sentencepiece
 
 import corpus_pipeline
 from pipelens.llm import sentencepiece_ops
-from tests.llm.test_text_ops import brute_dedup, slow_fingerprint
+from tests.llm.test_shingle_sets import brute
+from tests.llm.test_text_ops import brute_dedup
 
 
 def test_pipeline_against_brute_force(spark, sf):
@@ -18,12 +19,7 @@ def test_pipeline_against_brute_force(spark, sf):
     want = {i: t for i, t in brute_dedup(rows).items() if t or not dict(rows)[i]}
     assert {r["doc_id"]: r["text"] for r in two.collect()} == want and two.columns == docs.columns
     three = at["simhash_near_dedup"](spark, two, sf).collect()
-    fp, kept = {i: slow_fingerprint(t) for i, t in want.items()}, []
-    comp = {i: i for i in fp}
-    for _ in range(8):
-        for i in fp:
-            comp[i] = min(comp[j] for j in fp if bin(fp[i] ^ fp[j]).count("1") <= 2)
-    kept = {i for i in fp if comp[i] == i}
+    kept = {i for i, c in zip(want, brute(list(want.items())), strict=True) if c == i}  # five words, Jaccard 0.8
     assert {r["doc_id"] for r in three} == kept
     four = at["mix_sources"](spark, spark.createDataFrame(three, docs.schema), sf)
     assert four.columns == docs.columns and {r["doc_id"] for r in four.collect()} == kept

@@ -38,6 +38,7 @@ def test_near_copies_with_a_few_edits_go(spark):
     want = brute(rows)
     got = {r["doc_id"]: r["component_id"] for r in shingle_sets.group(docs).collect()}
     assert [got[i] for i, _ in rows] == want
+    assert {r["doc_id"]: r["component_id"] for r in simhash.group_similar(docs).collect()} == got
     pairs = [(i, j) for i in range(12) for j in range(18 + 5 * i, 23 + 5 * i) if want[i] == want[j]]
     far = [bin(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).count("1") > 2 for i, j in pairs]
     assert len(pairs) > 20 and sum(far) > len(far) / 2  # what the fingerprints' radius lost

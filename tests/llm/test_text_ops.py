@@ -1,9 +1,11 @@
 """Line dedup, language ID, SimHash, mixing, LM scoring: brute force, and nulls, empties, ties, repeats and odd columns."""
 
 import random
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -74,6 +76,47 @@ def test_language_windows_cover_the_whole_text():
     assert s([long])[0] == ["y"] and s(["aaaa bbbb " * 400 + "cccc dddd " * 100])[0] == ["x"]
 
 
+def slow_language(model, text):
+    """One text by plain loops over its windows, filters and places: (language, probability)."""
+    raw, total = text.lower().encode(), np.zeros(len(model.langs))
+    for at in range(0, len(raw), langid.WINDOW):
+        pooled = []
+        for k, (w, f) in enumerate(sorted(model.filters.items())):
+            best = np.full(langid.FILTERS, -np.inf)
+            for i in range(at, at + langid.WINDOW):
+                seen = np.concatenate([model.embed[raw[i + j] if i + j < len(raw) else 0] for j in range(w)])
+                best = np.maximum(best, seen @ f + model.bias[k * langid.FILTERS : (k + 1) * langid.FILTERS])
+            pooled.append(np.maximum(best, 0))
+        z = np.concatenate(pooled) @ model.out + model.out_bias
+        total += (z - np.log(np.exp(z - z.max()).sum()) - z.max()) * min(langid.WINDOW, len(raw) - at)
+    p = np.exp(total / len(raw) - (total / len(raw)).max())
+    return model.langs[int(p.argmax())], float((p / p.sum()).max())
+
+
+def test_language_id_against_plain_loops_and_alone(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()), docs["doc_id"])
+    texts = [r["text"] for r in docs.collect()] + ["a" * n for n in (1, 253, 254, 255, 256, 257, 512)] + ["é", "x\0y", " the", "of the " * 400]
+    scorer = langid.Scorer(model)
+    together = list(zip(*scorer(texts), strict=True))
+    assert together == [(a[0], b[0]) for a, b in (scorer([t]) for t in texts)]
+    assert together[::-1] == list(zip(*scorer(texts[::-1]), strict=True))
+    for t, (lang, score) in list(zip(texts, together, strict=True))[-40:]:
+        if len(t) < 3000:
+            want = slow_language(model, t)
+            assert want[0] == lang and abs(want[1] - score) < 1e-4, t
+    by_id = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.classify(spark, docs).collect()}
+    assert by_id == {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.classify(spark, docs.repartition(7)).collect()}
+
+
+def test_language_id_names_and_rows(spark):
+    rows = [(f"word{i % 7} of x{i}", f"l{i % 30}", 1, "k") for i in range(300)] + [(None, "l1", 1, "k"), ("abc", None, 1, "k")]
+    docs = spark.createDataFrame(rows, "text string, lang string, score int, lang_pred string")
+    picked = langid.sampled(docs, docs["text"], sample=5)
+    assert {lang for _, lang in picked} <= {f"l{i}" for i in range(30)} and all((t, lang) in {r[:2] for r in rows} for t, lang in picked)
+    assert langid.predict(docs, None).columns == ["text", "lang", "score", "lang_pred", "lang_pred_", "score_"]
+
+
 def slow_fingerprint(text):
     words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\v", " ").replace("\f", " ").split(" ") if w]
     if not words:
@@ -161,7 +204,7 @@ def test_mixing_against_slot_by_slot_simulation(seed):
 def test_mixing_keeps_every_row_in_a_dense_order(spark):
     rows = [(i if i % 50 else None, f"t{i}", [None, "a", "b", "c.d"][min(3, i % 7)], i) for i in range(500)] + [(3, "t3", "a", 3)] * 4
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, slot long")
-    out, n = mixing.schedule(df, {"a": 3, "b": 1}, block=4, period=64)
+    out, n = mixing.schedule(df, {"a": 3, "b": 1}, block=4)
     got = out.collect()
     assert n == len(rows) == len(got) and sorted(r["position"] for r in got) == list(range(n))
     assert out.columns[-5:] == ["block", "slot_", "release", "deadline", "position"]
@@ -171,27 +214,127 @@ def test_mixing_keeps_every_row_in_a_dense_order(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.schedule(df.limit(0))[0].count() == 0
 
 
-def test_lm_scores_and_model(spark, sf):
+def slow_positions(rows, weights, block):
+    """Rows (row, source) in any order by a slot-by-slot simulation: number of rows of each source before each block."""
+    n = {}
+    for _, s in rows:
+        n[s] = n.get(s, 0) + 1
+    order = pfair(mixing.shares(weights), {s: -(-k // block) for s, k in n.items()})
+    done, at, out = dict.fromkeys(n, 0), 0, []
+    for slot, s in enumerate(order):
+        out.append((slot, s, done[s], at))
+        at += min(block, n[s] - done[s] * block)
+        done[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 1}, {"a": 1, "b": 1e-6, "c": 0.1}, {"a": 1 / 3, "b": 2 / 3, "c": 5}])
+def test_mixing_by_exact_weights(spark, weights):
+    rng = random.Random(9)
+    rows = [(i, rng.choice("aaabbc")) for i in range(900)]
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=4)[0].collect()
+    first = {}
+    for r in got:
+        first.setdefault((r["slot"], r["source"], r["block"]), []).append(r["position"])
+    want = slow_positions(rows, weights, 4)
+    assert sorted((*k, min(v)) for k, v in first.items()) == want
+    assert all(sorted(v) == list(range(min(v), min(v) + len(v))) for v in first.values())
+
+
+def test_mixing_weights_stay_exact_and_blocks_grow(spark):
+    assert mixing.shares({"a": 1, "b": 1e-6})["a"] == Fraction(1) / Fraction(1e-6) * mixing.shares({"a": 1, "b": 1e-6})["b"]
+    df = spark.range(1000).selectExpr("id as doc_id", "if(id % 3 = 0, 'x', 'y') as source")
+    out = mixing.schedule(df, mixing.in_turn(), slots=10)[0]
+    assert out.selectExpr("max(slot)").first()[0] <= 11 and out.selectExpr("count(distinct position)").first()[0] == 1000
+
+
+def test_mixing_order_depends_on_the_rows_alone(spark):
+    rows = [(None, f"t{i}", "ab"[i % 2]) for i in range(3000)] + [(1, "same", "a")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = ({(r["text"], r["position"]) for r in mixing.schedule(df.repartition(n), {"a": 2, "b": 1}, block=4)[0].collect()} for n in (7, 3))
+    assert one == two and len(one) == 3050
+    names = "s, k, before, start, period, share, slots, until, src, bucket, rank, src_name, piece, rows_before, plan"
+    odd = df.selectExpr("*", *(f"1 as `{n}`" for n in names.split(", ")))
+    assert mixing.schedule(odd)[0].select("position").distinct().count() == 3050
+    many = spark.range(3000).selectExpr("id as doc_id", "concat('s', id % 1500) as source")
+    assert mixing.schedule(many, block=1)[0].selectExpr("max(position)").first()[0] == 2999
+
+
+def slow_scores(texts, model):
+    """Plain loops over words, neighbours, classes and places: (words, sum of log probabilities) of each text."""
+    n = Counter(w for t in texts for w in (t or "").lower().split())
+    p, side, own = model.network.p, model.grid.side, {w: i for i, w in enumerate(model.grid.top)}
+    cell_of = {w: own[w] if w in own else model.grid.shared(w) for w in n}
+    cells = Counter()
+    for w, k in n.items():
+        cells[cell_of[w]] += k
+    assert [cells[i] for i in range(side * side)] == model.cells.tolist()
+    soft = lambda z: np.log(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    out = []
+    for t in texts:
+        ws, total = (t or "").lower().split(), 0.0
+        at = [model.grid.edge, *(cell_of[w] for w in ws), model.grid.edge]
+        for i, w in enumerate(ws):
+            h = np.tanh(p["left"][at[i]] + p["right"][at[i + 2]] + p["bias"])
+            c, j = divmod(cell_of[w], side)
+            total += soft(h @ p["out"] + p["out_bias"])[c] + soft(h @ p["place"][c] + p["place_bias"][c])[j] + np.log(n[w] / (cells[cell_of[w]] + 1))
+        out.append((len(ws), total))
+    return out
+
+
+def test_lm_scores_against_plain_loops(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["the", "cat", "Dog", "sat", "on", "a", f"w{rng.randrange(90)}", "Été", "漢字"]) for _ in range(rng.randrange(0, 30))) for _ in range(60)] + [None, "", "  \n", " lead trail ", "a\u00a0b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm_scoring.fit(docs.repartition(3))
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, model).collect()}
+    for i, (n, total) in enumerate(slow_scores(texts, model)):
+        assert got[i]["n_tokens"] == n and abs(got[i]["pll"] - total) < 1e-3 * (1 + n)
+        assert got[i]["mean_logp"] is None if not n else abs(got[i]["mean_logp"] - total / n) < 1e-3
+
+
+def test_lm_odd_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    m = lm_scoring.fit(docs)
-    assert np.allclose(np.exp(m.table).sum(axis=1), 1, atol=1e-4)
+    model = lm_scoring.fit(docs)
     text = docs.first()["text"]
-    odd = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "zzz 漢字 zzz"), (1, text), (None, " \n")], "doc_id long, text string")
-    got = [tuple(r) for r in lm_scoring.score(odd, m).collect()]
-    cq = [m.word(w) for w in text.lower().split()]
-    c = [lm_scoring.EDGE, *(a for a, _ in cq), lm_scoring.EDGE]
-    want = sum(q for _, q in cq) + sum(float(m.table[c[i] * lm_scoring.SIDE + c[i + 2], c[i + 1]]) for i in range(len(cq)))
-    assert got[0] == got[4] and abs(got[0][2] - want) < 1e-6 and got[0][1] == len(cq)
-    assert got[1][1:] == got[2][1:] == got[5][1:] == (0, 0.0, None) and got[3][2] < 0
-    assert lm_scoring.score(odd, lm_scoring.fit(docs.limit(0))).count() == 6
-
-
-def test_lm_network_beats_frequencies():
-    rng = np.random.default_rng(0)
-    counts = np.zeros((lm_scoring.SIDE**2, lm_scoring.CLASSES))
-    for _ in range(20_000):
-        left = int(rng.integers(0, 20))
-        counts[left * lm_scoring.SIDE + (left + 2) % 20, (left + 1) % 20] += 1
-    logp = lm_scoring.train(counts)
-    base = np.log((counts.sum(0) + 1) / (counts.sum() + lm_scoring.CLASSES))
-    assert (counts * logp).sum() / counts.sum() > -0.5 > (counts * base).sum() / counts.sum()
+    odd = spark.createDataFrame([(1, text, 1), (2, None, 1), (3, "", 1), (4, "zzz 漢字 zzz", 1), (1, text, 1), (None, " \n", 1), (5, "the of " * 200_000, 1)], "doc_id long, text string, id int")
+    got = {r["doc_id"]: tuple(r) for r in lm_scoring.score(odd, model).collect()}
+    assert got[1][1] == len(text.lower().split()) and got[1][2] < 0
+    assert got[2][1:] == got[3][1:] == got[None][1:] == (0, 0.0, None) and got[4][2] < 0 and got[5][1] == 400_000
+    assert [tuple(r) for r in lm_scoring.score(odd, model).where("doc_id = 1").collect()] == [got[1]] * 2
+    empty = lm_scoring.fit(docs.limit(0))
+    assert lm_scoring.score(odd, empty).count() == 7 and lm_scoring.score(odd.limit(0), model).count() == 0
+
+
+def test_lm_network_beats_frequencies(spark, sf):
+    """Of held-out rows: the words' cells are predicted better with both neighbours than without them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = lm_scoring.fit(docs.where("doc_id % 5 <> 0"))
+    left, cell, right, _, _ = lm_scoring.positions(docs.where("doc_id % 5 = 0").select("text").toArrow().column(0).combine_chunks(), model.grid)
+    start = lm_scoring.Network(model.grid.side, model.cells)
+    assert model.network.logp(left, cell, right).mean() > start.logp(left, cell, right).mean() + 0.3
+    every = np.arange(model.grid.side**2)
+    assert abs(np.exp(model.network.logp(np.full_like(every, 3), every, np.full_like(every, 5))).sum() - 1) < 1e-3
+
+
+def test_lm_grid_grows_with_the_words():
+    sizes = [lm_scoring.Grid.size(n) ** 2 for n in (10**4, 10**6, 10**8)]
+    assert sizes[0] >= 400 and sizes[1] >= 4000 and sizes[2] >= 40_000
+    g = lm_scoring.Grid.of(10**4, [f"w{i}" for i in range(10**4)])
+    assert len(g.top) == g.side // 2 * g.side and g.side**2 > g.shared("other") >= len(g.top)
+
+
+def test_lm_tasks_are_averaged_by_their_positions(spark):
+    docs = spark.createDataFrame([("a b c d " * 400,), ("d c b a " * 100,)], "text string").repartition(2)
+    words = [f"{c}" for c in "abcd"]
+    grid, counts = lm_scoring.Grid(8, words), np.zeros(64)
+    counts[:4] = 500
+    parts = [[r["text"] for r in rows] for rows in docs.rdd.glom().collect() if rows]
+    total, n = 0.0, 0
+    for rows in parts:
+        net, state, k = lm_scoring.Network(8, counts), {}, 0
+        left, cell, right, _, _ = lm_scoring.positions(pa.array(rows), grid)
+        lm_scoring.learn(net, left, cell, right, state, lm_scoring.passes(2000 / 2))
+        total, n = total + len(cell) * net.flat().astype(float), n + len(cell)
+    got = lm_scoring.train(docs, "text", grid, counts).flat()
+    assert np.allclose(got, total / n, atol=1e-5)
