@@ -134,16 +134,21 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, (self.first, self.second) = model, model.tables()
 
-    def windows(self, flat: np.ndarray) -> np.ndarray:
-        """Log probabilities (window, language) of consecutive windows; flat has whole windows and max(WIDTHS) zeros
-        after. Only elementwise steps and maxima: a window's result doesn't depend on the windows beside it."""
-        n, step = (len(flat) - max(WIDTHS)) // WINDOW, 64
-        pairs = (flat[:-1].astype(np.uint16) << 8) | flat[1:]
+    def windows(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log probabilities (window, language) of consecutive windows; flat is whole windows, and texts end at `ends`,
+        after which filters read zeros. Only elementwise steps and maxima: a window's result doesn't depend on the
+        windows beside it."""
+        n, step = len(flat) // WINDOW, 64
+        pairs = flat.astype(np.uint16) << 8
+        pairs[:-1] |= flat[1:]
+        pairs[ends - 1] &= 0xFF00
+        later = np.concatenate([pairs[2:], np.zeros(2, np.uint16)])
+        later[ends - 1] = later[ends - 2] = 0
         h = np.zeros((n, len(WIDTHS) * FILTERS), np.float32)
         for w in range(0, n, step):
             a, k = w * WINDOW, min(step, n - w)
             r = self.first.take(pairs[a : a + k * WINDOW], axis=0)
-            r[:, FILTERS:] += self.second.take(pairs[a + 2 : a + 2 + k * WINDOW], axis=0)
+            r[:, FILTERS:] += self.second.take(later[a : a + k * WINDOW], axis=0)
             np.maximum(r.reshape(k, WINDOW, -1).max(axis=1), 0, out=h[w : w + k])
         z = np.repeat(self.model.out_bias[None], n, axis=0)
         for k, weights in enumerate(self.model.out):  # a matrix product may add in another order for another shape
@@ -153,7 +158,7 @@ class Scorer:
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Every text's language and its probability: the mean log probability over all its windows, by their bytes,
-        normalised. Zero bytes part the texts, as filters read on past a window's end."""
+        normalised."""
         langs, scores = [UND] * len(texts), [0.0] * len(texts)
         at, parts = [], []
         for i, t in enumerate(texts):
@@ -162,9 +167,9 @@ class Scorer:
                 parts.append(t.lower().encode("utf-8", "replace"))
         for lo, hi in _runs([len(b) for b in parts], 1 << 22):
             sizes = np.array([len(b) for b in parts[lo:hi]])
-            wins = -(-(sizes + max(WIDTHS) - 1) // WINDOW)
-            flat = np.frombuffer(b"".join(b.ljust(int(k) * WINDOW, b"\0") for b, k in zip(parts[lo:hi], wins, strict=True)) + b"\0" * max(WIDTHS), np.uint8)
-            logp, first = self.windows(flat), np.concatenate([[0], np.cumsum(wins)[:-1]])
+            wins = -(-sizes // WINDOW)
+            flat = np.frombuffer(b"".join(b.ljust(int(k) * WINDOW, b"\0") for b, k in zip(parts[lo:hi], wins, strict=True)), np.uint8)
+            logp, first = self.windows(flat, np.cumsum(wins) * WINDOW), np.concatenate([[0], np.cumsum(wins)[:-1]])
             left = np.repeat(sizes, wins) - (np.arange(len(logp)) - np.repeat(first, wins)) * WINDOW
             p = _softmax(np.add.reduceat(logp * np.clip(left, 0, WINDOW)[:, None], first, axis=0) / sizes[:, None])
             best = p.argmax(axis=1)
