@@ -122,7 +122,7 @@ class DataCleaning(Analysis):
             return [ReplaceFrame(fix, said), ReplaceFrame(fix, said, "test")]
         if error is ErrorType.DUPLICATES:
             return [ReplaceFrame(lambda train, df: relational.drop_duplicates(df, [column]), said)]
-        n = plan.only(Op.ESTIMATOR)
+        n = plan.only(Op.FIT)
         inner, label = n.params["model"], n.params["label"]
         return [ReplaceModel(lambda: Doubted(inner, name, label), said)]
 
@@ -197,13 +197,13 @@ class OperatorImpact(Analysis):
 def removable(plan: Plan) -> list[list[int]]:
     """Filters that can be left out; the same filter on both sides goes together."""
     groups: dict[str, list[int]] = {}
-    train = {a for m in plan.of(Op.TRAIN_DATA) for a in plan.ancestors(m.id)}
-    test = {a for m in plan.of(Op.TEST_DATA) for a in plan.ancestors(m.id)}
-    for n in plan.of(Op.SELECTION):
+    train = {a for m in plan.role("train rows") for a in plan.ancestors(m.id)}
+    test = {a for m in plan.role("test rows") for a in plan.ancestors(m.id)}
+    for n in plan.of(Op.FILTER):
         if n.params.get("dropna") or n.params.get("exact"):
             continue
         # two filters of one frame that lead to the two sides are the split itself
-        siblings = [k for k in plan.children(n.parents[0]) if plan.nodes[k].op == Op.SELECTION and k != n.id]
+        siblings = [k for k in plan.children(n.parents[0]) if plan.nodes[k].op == Op.FILTER and k != n.id]
         if any((n.id in train) != (k in train) and (n.id in test) != (k in test) for k in siblings):
             continue
         mask = plan.nodes[n.parents[1]] if len(n.parents) > 1 else n
@@ -244,7 +244,7 @@ class PermuteColumn:
     def apply(self, plan):
         n = plan.nodes[self.at]
         c, seed = self.column, self.seed
-        only = {k for k in plan.children(self.at) if plan.nodes[k].op != Op.TRAIN_DATA}
+        only = {k for k in plan.children(self.at) if plan.nodes[k].params.get("role") != "train rows"}
         return plan.inserted_after(self.at, Op.JOIN, lambda df: corruption.permute(df, c, seed), only=only, params={"permute": c, "seed": seed}, description=f"permute {c}", columns=n.columns, reads=(c,), writes=(c,))[0]
 
 

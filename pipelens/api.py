@@ -85,7 +85,7 @@ class Analyzer:
         for s in self.shadows:
             shadows[type(s).__name__] = s.check(plan, ex) | {"text": s.text}
         info = infos[0] | {"built": ex.counters.built, "reused": ex.counters.reused}
-        extracted = {n.params["label"]: ex.value(plan, n.id) for n in plan.of(Op.EXTRACT_RESULT)}
+        extracted = {n.params["label"]: ex.value(plan, n.id) for n in plan.of(Op.OUTPUT)}
         return Results(scores, dict(zip([type(a).__name__ for a in self.what_ifs], reports, strict=True)), shadows, Extraction(plan, ex.values), info | {"extracted": extracted}, changes)
 
 

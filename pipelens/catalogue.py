@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pipelens.analyses import shadow, whatif
 from pipelens.functions import expr as E
 from pipelens.functions import text as T
-from pipelens.functions.hashing import fractions, lcg
+from pipelens.functions.hashing import fractions, draw
 from pipelens.operators import cleaning, corruption, diagnostics, features, metrics, models
 from pipelens.operators import relational as R
 from pipelens.plans.executor import Executor
@@ -38,9 +38,7 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def U(rid: str, seed: int = 0, stream: int = 0) -> str:  # noqa: N802
     """The seeded hash of functions.hashing as SQL."""
-    from pipelens.functions.hashing import STEPS
-
-    return f"((({rid}) % 2147483648) * {STEPS[stream]} + {12345 + seed * 2654435}) % 2147483648"
+    return f"(('0x' || substr(md5(CAST(CAST({rid} AS BIGINT) AS VARCHAR) || ':{seed}:{stream}'), 1, 8))::BIGINT % 2147483648)"
 
 
 def r4(c):
@@ -774,4 +772,4 @@ def _(spark, d):
 @query("random_hash_stream", f"SELECT o_orderkey, {U('o_orderkey', 9, 3)} AS u FROM orders")
 def _(spark, d):
     o = with_rid(t(spark, d, "orders"))
-    return o.select("o_orderkey", lcg(F.col(RID), 9, 3).alias("u"))
+    return o.select("o_orderkey", draw(F.col(RID), 9, 3).alias("u"))

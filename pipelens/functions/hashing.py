@@ -8,21 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MODULUS = 1 << 31
-STEPS = (1103515245, 1140671485, 1664525, 22695477)  # odd multipliers: different ones make choices independent
+STEPS = (1103515245, 1140671485, 1664525, 22695477)  # odd multipliers of the generator that makes one draw into many
 
 
-def lcg(rid: Column, seed: int = 0, stream: int = 0) -> Column:
-    """A number below MODULUS for every row id. Ids that differ below MODULUS get different numbers."""
-    return F.pmod(F.pmod(rid.cast("long"), F.lit(MODULUS)) * F.lit(STEPS[stream % len(STEPS)]) + F.lit(12345 + seed * 2654435), F.lit(MODULUS))
+def draw(rid: Column, seed: int = 0, stream: int = 0) -> Column:
+    """A number below MODULUS for every row id: the first bits of the MD5 of the whole id, the seed and the stream, so
+    choices of different seeds and streams are independent. Any SQL engine has MD5."""
+    said = F.concat_ws(":", rid.cast("long").cast("string"), F.lit(str(seed)), F.lit(str(stream)))
+    return F.pmod(F.conv(F.substring(F.md5(said.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(MODULUS))
 
 
 def uniform(rid: Column, seed: int = 0, stream: int = 0) -> Column:
-    return lcg(rid, seed, stream) / F.lit(float(MODULUS))
+    return draw(rid, seed, stream) / F.lit(float(MODULUS))
 
 
 def gaussian(rid: Column, seed: int = 0) -> Column:
     """The sum of twelve uniform numbers less six. Consecutive draws go through the generator again, so that they differ."""
-    x, out = lcg(rid, seed), F.lit(0.0)
+    x, out = draw(rid, seed), F.lit(0.0)
     for k in range(12):
         x = F.pmod(x * F.lit(STEPS[k % len(STEPS)]) + F.lit(12345 + k * 7919), F.lit(MODULUS))
         out = out + x / F.lit(float(MODULUS))
@@ -30,9 +32,9 @@ def gaussian(rid: Column, seed: int = 0) -> Column:
 
 
 def thresholds(df: DataFrame, rid: Column, counts: list[int], seed: int = 0, stream: int = 0) -> list[tuple[int, int]]:
-    """For every count k, (u, id): the k-th smallest (lcg, id). Two rounds of counting by ranges of the number, of
+    """For every count k, (u, id): the k-th smallest (draw, id). Two rounds of counting by ranges of the number, of
     65,536 rows at most each, find it; no row is sorted, and what is chosen is a filter."""
-    u = lcg(rid, seed, stream)
+    u = draw(rid, seed, stream)
     high, low = (F.floor(u / 32768)).cast("int"), F.pmod(u, F.lit(32768)).cast("int")
     coarse = sorted((r["b"], r["count"]) for r in df.select(high.alias("b")).groupBy("b").count().collect())
     out: list[tuple[int, int]] = []
@@ -61,7 +63,7 @@ def thresholds(df: DataFrame, rid: Column, counts: list[int], seed: int = 0, str
                             out[at] = (value, most)
                         elif k == 1:
                             out[at] = (value, least)
-                        else:  # ids that agree below MODULUS
+                        else:  # different ids with the same number
                             out[at] = (value, df.where(u == value).select(rid.alias("r")).orderBy("r").limit(k).agg(F.max("r")).first()[0])
                         break
                     k -= n
@@ -70,7 +72,7 @@ def thresholds(df: DataFrame, rid: Column, counts: list[int], seed: int = 0, str
 
 def chosen(rid: Column, threshold: tuple[int, int], seed: int = 0, stream: int = 0) -> Column:
     u, last = threshold
-    n = lcg(rid, seed, stream)
+    n = draw(rid, seed, stream)
     return (n < F.lit(u)) | ((n == F.lit(u)) & (rid <= F.lit(last)))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipelens.functions.hashing import MODULUS, STEPS, fractions, gaussian, lcg
+from pipelens.functions.hashing import MODULUS, STEPS, fractions, gaussian, draw
 from pipelens.sources.readers import RID
 
 # Characters that are read for one another: fixed values.
@@ -17,7 +17,7 @@ FACTORS = (10, 100, 1000)
 
 
 def scaling(c: Column, rid: Column, seed: int = 0, **_) -> Column:
-    return c * F.element_at(F.array(*map(F.lit, FACTORS)), (F.pmod(lcg(rid, seed, 2), F.lit(len(FACTORS))) + 1).cast("int"))
+    return c * F.element_at(F.array(*map(F.lit, FACTORS)), (F.pmod(draw(rid, seed, 2), F.lit(len(FACTORS))) + 1).cast("int"))
 
 
 def missing(c: Column, rid: Column, **_) -> Column:
@@ -49,7 +49,7 @@ def typos(c: Column, rid: Column, seed: int = 0, **_) -> Column:
     the next letter, by a hash of row and place."""
     chars = F.split(F.translate(c, *TYPING), "")
     def one(x: Column, i: Column) -> Column:
-        h = F.pmod(F.pmod(lcg(rid, seed, 3) + i.cast("long") * F.lit(2654435), F.lit(MODULUS)) * F.lit(STEPS[0]) + F.lit(12345), F.lit(MODULUS))
+        h = F.pmod(F.pmod(draw(rid, seed, 3) + i.cast("long") * F.lit(2654435), F.lit(MODULUS)) * F.lit(STEPS[0]) + F.lit(12345), F.lit(MODULUS))
         h = F.pmod(F.floor(h / 65536), F.lit(16))
         return F.when(h == 0, F.concat(x, x)).when(h == 1, F.lit("")).when((h == 2) & x.rlike("^[a-y]$"), F.char(F.ascii(x) + 1)).otherwise(x)
 
@@ -80,7 +80,7 @@ def permute(df: DataFrame, column: str, seed: int = 0) -> DataFrame:
 
     Places come from range partitioning and per-partition counts, so no window spans all rows in one task."""
     by_id = ranked(df.select(RID), [F.col(RID)]).select(RID, "place")
-    by_hash = ranked(df.select(F.col(RID).alias("_other"), F.col(column).alias("_value")), [lcg(F.col("_other"), seed), F.col("_other")]).select("_value", "place")
+    by_hash = ranked(df.select(F.col(RID).alias("_other"), F.col(column).alias("_value")), [draw(F.col("_other"), seed), F.col("_other")]).select("_value", "place")
     return df.drop(column).join(by_id.join(by_hash, "place").select(RID, F.col("_value").alias(column)), RID).select(*df.columns)
 
 

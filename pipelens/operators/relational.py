@@ -117,11 +117,12 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def fuzzy_merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str, threshold: float = 0.6) -> DataFrame:
-    """All pairs whose similarity is at least the threshold; the columns of both, suffixed where names are shared.
+    """All pairs whose similarity is at least the threshold, repeated rows as often as they occur; the columns of both,
+    suffixed where names are shared.
 
     No cross join: of two strings within d edits, one of d + 1 pieces of the first occurs in the second, at most d
     places off. Pieces and substrings meet by equality (with the first string's length), and the edits of what meets
-    are counted. Strings too short for as many pieces meet by length alone.
+    are counted. Strings too short for as many pieces meet by length alone. Equal rows travel once, with their number.
     """
     common = set(left.columns) & set(right.columns)
     a = left.select(*(F.col(c).alias(c + "_x" if c in common else c) for c in left.columns))
@@ -131,18 +132,21 @@ def fuzzy_merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
         raise ValueError("a threshold of 0 matches everything")
     # d for a first string of length n: the other has n / threshold characters at most
     edits = f"cast(floor({1 - threshold} * floor(n / {threshold}) + 1e-9) as int)"
-    la = a.where(F.col(ka).isNotNull()).select(F.struct("*").alias("l"), F.col(ka).alias("s"), F.char_length(ka).alias("n"))
+    counted = lambda df, key: df.where(F.col(key).isNotNull()).groupBy(*df.columns).agg(F.count("*").alias("_times"))
+    a, b = counted(a, ka), counted(b, kb)
+    la = a.select(F.struct("*").alias("l"), F.col(ka).alias("s"), F.char_length(ka).alias("n"))
     la = la.withColumn("d", F.expr(edits))
     keys = "if(n > d, transform(sequence(0, d), k -> struct(n as n, k as k, substring(s, cast(k * n div (d + 1) as int) + 1, cast((k + 1) * n div (d + 1) as int) - cast(k * n div (d + 1) as int)) as p)), array(struct(n as n, -1 as k, '' as p)))"
     la = la.select("l", "s", F.explode(F.expr(keys)).alias("key"))
-    rb = b.where(F.col(kb).isNotNull()).select(F.struct("*").alias("r"), F.col(kb).alias("t"), F.char_length(kb).alias("m"))
+    rb = b.select(F.struct("*").alias("r"), F.col(kb).alias("t"), F.char_length(kb).alias("m"))
     rb = rb.select("r", "t", "m", F.explode(F.expr(f"sequence(cast(ceil(m * {threshold} - 1e-9) as int), cast(floor(m / {threshold} + 1e-9) as int))")).alias("n")).withColumn("d", F.expr(edits))
     spans = """if(n > d, array_distinct(flatten(transform(sequence(0, d), k -> transform(
         sequence(greatest(cast(k * n div (d + 1) as int) - d, 0), greatest(cast(k * n div (d + 1) as int) - d, 0, least(cast(k * n div (d + 1) as int) + d, m - (cast((k + 1) * n div (d + 1) as int) - cast(k * n div (d + 1) as int))))),
         i -> struct(n as n, k as k, substring(t, i + 1, cast((k + 1) * n div (d + 1) as int) - cast(k * n div (d + 1) as int)) as p))))), array(struct(n as n, -1 as k, '' as p)))"""
     rb = rb.select("r", "t", F.explode(F.expr(spans)).alias("key"))
     met = la.join(rb, "key").where(similarity(F.col("s"), F.col("t")) >= threshold).select("l", "r").distinct()
-    return met.select("l.*", "r.*")
+    twice = met.withColumn("_", F.explode(F.expr("sequence(1L, l._times * r._times)")))
+    return twice.select(*(F.col(f"l.`{c}`") for c in a.columns if c != "_times"), *(F.col(f"r.`{c}`") for c in b.columns if c != "_times"))
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 4, vector: str = "embedding", tiles: int = 8) -> DataFrame:

@@ -49,7 +49,7 @@ class Executor:
                 todo += missing
                 continue
             began = time.perf_counter()
-            if self.share and (plan.nodes[k].op == Op.TRAIN_TEST_SPLIT or plan.nodes[k].params.get("exact")):
+            if self.share and (plan.nodes[k].op == Op.SPLIT or plan.nodes[k].params.get("exact")):
                 for p in plan.nodes[k].parents:  # choosing rows counts them several times
                     local[p] = self._keep(plan.key(p), local[p])
             v = plan.nodes[k].build(*(local[p] for p in plan.nodes[k].parents))

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from pipelens.plans.plan import ROW_WISE, Op, Phase, Plan
 
-SIDES = {"test": Op.TEST_DATA, "train": Op.TRAIN_DATA}
+SIDES = {"test": "test rows", "train": "train rows"}
 
 
 def side_nodes(plan: Plan, side: str) -> list[int]:
     """Frames on the way to a side's marker, from the side's own part of the split (or the sources) to the marker's parent."""
-    markers = plan.of(SIDES[side])
-    other = plan.of(SIDES["train" if side == "test" else "test"])
+    markers = plan.role(SIDES[side])
+    other = plan.role(SIDES["train" if side == "test" else "test"])
     shared = {a for m in other for a in plan.ancestors(m.id)}
     own = {a for m in markers for a in plan.ancestors(m.id)}
     return [i for i in plan.order() if i in own and (i not in shared) and plan.nodes[i].columns]
@@ -25,7 +25,7 @@ def column_location(plan: Plan, column: str, side: str = "test", late: bool = Tr
     """The frame after which a changed column takes effect. Late: as near to the model as can be, just before the first
     operator that reads or changes the column; all before it is shared with the original. Early: the first frame of
     the side that has the column."""
-    marker = plan.of(SIDES[side])[0]
+    marker = plan.role(SIDES[side])[0]
     frames = [i for i in side_nodes(plan, side) if column in plan.nodes[i].columns]
     if not frames:
         return marker.parents[0]
@@ -61,8 +61,8 @@ class ChangeColumn:
         f, c = self.change, self.column
         build = (lambda df: df.withColumn(c, f(df))) if self.of_frame else (lambda df: df.withColumn(c, f(F.col(c))))
         n = plan.nodes[at]
-        only = set(side_nodes(plan, self.side)) | {m.id for m in plan.of(SIDES[self.side])} | {m.id for m in plan.nodes.values() if at in m.parents and m.op == Op.SUBSCRIPT}
-        return plan.inserted_after(at, Op.PROJECTION_MODIFY, build, only=only, params={"patch": self.name, "column": c, "change": f}, description=self.name, columns=n.columns, reads=(c,), writes=(c,))[0]
+        only = set(side_nodes(plan, self.side)) | {m.id for m in plan.role(SIDES[self.side])} | {m.id for m in plan.nodes.values() if at in m.parents and m.op == Op.COMPUTE}
+        return plan.inserted_after(at, Op.MAP, build, only=only, params={"patch": self.name, "column": c, "change": f}, description=self.name, columns=n.columns, reads=(c,), writes=(c,))[0]
 
 
 @dataclass(frozen=True)
@@ -74,16 +74,16 @@ class ReplaceFrame:
     side: str = "train"
 
     def apply(self, plan: Plan) -> Plan:
-        train = plan.of(Op.TRAIN_DATA)[0]
-        marker = plan.of(SIDES[self.side])[0]
+        train = plan.role("train rows")[0]
+        marker = plan.role(SIDES[self.side])[0]
         at = marker.parents[0]
         f = self.change
         if self.side == "train":
-            return plan.inserted_after(at, Op.PROJECTION_MODIFY, lambda df: f(df, df), only={marker.id}, params={"patch": self.name, "change": f}, description=self.name, columns=plan.nodes[at].columns)[0]
+            return plan.inserted_after(at, Op.MAP, lambda df: f(df, df), only={marker.id}, params={"patch": self.name, "change": f}, description=self.name, columns=plan.nodes[at].columns)[0]
         source = plan.nodes[train.id].parents[0]
         while plan.nodes[source].params.get("patch"):  # what is learned comes from the training rows as they were
             source = plan.nodes[source].parents[0]
-        return plan.inserted_after(at, Op.PROJECTION_MODIFY, lambda df, tr: f(tr, df), only={marker.id}, parents_more=(source,), params={"patch": self.name, "change": f}, description=self.name, columns=plan.nodes[at].columns)[0]
+        return plan.inserted_after(at, Op.MAP, lambda df, tr: f(tr, df), only={marker.id}, parents_more=(source,), params={"patch": self.name, "change": f}, description=self.name, columns=plan.nodes[at].columns)[0]
 
 
 @dataclass(frozen=True)
@@ -97,8 +97,8 @@ class AddFilter:
     def apply(self, plan: Plan) -> Plan:
         at = column_location(plan, self.column, self.side, self.late)
         f, c = self.predicate, self.column
-        only = set(side_nodes(plan, self.side)) | {m.id for m in plan.of(SIDES[self.side])}
-        return plan.inserted_after(at, Op.SELECTION, lambda df: df.where(f(F.col(c))), only=only, params={"patch": self.name, "predicate": f, "column": c}, description=self.name, columns=plan.nodes[at].columns, reads=(c,))[0]
+        only = set(side_nodes(plan, self.side)) | {m.id for m in plan.role(SIDES[self.side])}
+        return plan.inserted_after(at, Op.FILTER, lambda df: df.where(f(F.col(c))), only=only, params={"patch": self.name, "predicate": f, "column": c}, description=self.name, columns=plan.nodes[at].columns, reads=(c,))[0]
 
 
 @dataclass(frozen=True)
@@ -130,7 +130,7 @@ class ReplaceModel:
     def apply(self, plan: Plan) -> Plan:
         from pipelens.operators import models
 
-        n, f = plan.only(Op.ESTIMATOR), self.factory
+        n, f = plan.only(Op.FIT), self.factory
         label = n.params["label"]
         return plan.replaced(n.id, build=lambda df: models.make(f).fit(df, label), params={"model": f, "label": label, "name": self.name}, description=self.name)
 
@@ -142,4 +142,4 @@ def apply_all(plan: Plan, patches) -> Plan:
 
 
 def fits(plan: Plan) -> list:
-    return [n for n in plan.of(Op.TRANSFORMER) if n.phase == Phase.FIT]
+    return [n for n in plan.of(Op.ENCODE) if n.phase == Phase.FIT]

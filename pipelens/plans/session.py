@@ -45,7 +45,7 @@ class Session:
         # where a row comes from: an id of its own for each source
         made = (lambda: _traced(build(), number)) if self.provenance else build
         df = made()
-        node = self.plan.add(Op.DATA_SOURCE, (), made, params={"source": what, "number": number}, description=description, columns=tuple(relational.data_columns(df)), code=_code())
+        node = self.plan.add(Op.SCAN, (), made, params={"source": what, "number": number}, description=description, columns=tuple(relational.data_columns(df)), code=_code())
         return Frame(self, node.id, relational.data_columns(df))
 
     def read_parquet(self, path: str, key: str | None = None) -> Frame:
@@ -92,8 +92,8 @@ class Column_:
     def _two(self, other, f, symbol, swap=False) -> Column_:
         g = (lambda a, b: f(b, a)) if swap else f
         if isinstance(other, Column_):
-            return self._new(Op.SUBSCRIPT, (self, other), g, symbol, f=symbol, swap=swap)
-        return self._new(Op.SUBSCRIPT, (self,), lambda a: g(a, other), f"{symbol} {other!r}", f=symbol, value=other, swap=swap)
+            return self._new(Op.COMPUTE, (self, other), g, symbol, f=symbol, swap=swap)
+        return self._new(Op.COMPUTE, (self,), lambda a: g(a, other), f"{symbol} {other!r}", f=symbol, value=other, swap=swap)
 
     def __eq__(self, o): return self._two(o, E.eq, "=")  # noqa: E704
     def __ne__(self, o): return self._two(o, E.ne, "!=")  # noqa: E704
@@ -115,27 +115,27 @@ class Column_:
     __hash__ = None
 
     def __invert__(self):
-        return self._new(Op.SUBSCRIPT, (self,), E.invert, "~", f="~")
+        return self._new(Op.COMPUTE, (self,), E.invert, "~", f="~")
 
     def _one(self, op, f, name, **params):
         return self._new(op, (self,), f, f"{name} {params or ''}".strip(), f=name, **params)
 
-    def isin(self, values): return self._one(Op.SUBSCRIPT, lambda a: E.isin(a, values), "isin", values=list(values))  # noqa: E704
-    def astype(self, kind): return self._one(Op.SUBSCRIPT, lambda a: E.astype(a, kind), "astype", kind=kind)  # noqa: E704
-    def fillna(self, value): return self._one(Op.PROJECTION_MODIFY, lambda a: E.fill(a, value), "fillna", value=value)  # noqa: E704
-    def len(self): return self._one(Op.SUBSCRIPT, E.length, "str.len")  # noqa: E704
-    def match(self, pattern): return self._one(Op.SUBSCRIPT, lambda a: E.matches(a, pattern), "str.match", pattern=pattern)  # noqa: E704
-    def contains(self, pattern, regex=True): return self._one(Op.SUBSCRIPT, lambda a: E.contains(a, pattern, regex), "str.contains", pattern=pattern, regex=regex)  # noqa: E704
+    def isin(self, values): return self._one(Op.COMPUTE, lambda a: E.isin(a, values), "isin", values=list(values))  # noqa: E704
+    def astype(self, kind): return self._one(Op.COMPUTE, lambda a: E.astype(a, kind), "astype", kind=kind)  # noqa: E704
+    def fillna(self, value): return self._one(Op.MAP, lambda a: E.fill(a, value), "fillna", value=value)  # noqa: E704
+    def len(self): return self._one(Op.COMPUTE, E.length, "str.len")  # noqa: E704
+    def match(self, pattern): return self._one(Op.COMPUTE, lambda a: E.matches(a, pattern), "str.match", pattern=pattern)  # noqa: E704
+    def contains(self, pattern, regex=True): return self._one(Op.COMPUTE, lambda a: E.contains(a, pattern, regex), "str.contains", pattern=pattern, regex=regex)  # noqa: E704
 
     def replace(self, old, new=None):
         mapping = old if isinstance(old, dict) else {old: new}
-        return self._one(Op.PROJECTION_MODIFY, lambda a: E.replace_values(a, mapping), "replace", mapping=[list(x) for x in mapping.items()])
+        return self._one(Op.MAP, lambda a: E.replace_values(a, mapping), "replace", mapping=[list(x) for x in mapping.items()])
 
     def label_binarize(self, classes):
-        return self._one(Op.PROJECTION_MODIFY, lambda a: E.binarize(a, classes)[0], "label_binarize", classes=classes)
+        return self._one(Op.MAP, lambda a: E.binarize(a, classes)[0], "label_binarize", classes=classes)
 
     def map(self, f: Callable[[Column], Column], name: str = "map"):
-        return self._one(Op.PROJECTION_MODIFY, f, name, function=f)
+        return self._one(Op.MAP, f, name, function=f)
 
 
 class Grouped:
@@ -152,7 +152,7 @@ class Grouped:
             out = out.withColumn(RID, F.xxhash64(*self.keys))
             return _traced(out, number) if self.frame.session.provenance else out
 
-        return self.frame._next(Op.GROUP_BY_AGG, (self.frame,), build, f"groupby {self.keys}, agg {aggs}", [*self.keys, *aggs], reads=tuple(self.keys), keys=self.keys, aggs={k: list(v) for k, v in aggs.items()})
+        return self.frame._next(Op.AGGREGATE, (self.frame,), build, f"groupby {self.keys}, agg {aggs}", [*self.keys, *aggs], reads=tuple(self.keys), keys=self.keys, aggs={k: list(v) for k, v in aggs.items()})
 
 
 class Frame:
@@ -167,32 +167,32 @@ class Frame:
 
     def __getitem__(self, what):
         if isinstance(what, str):
-            return Column_(self, self.session._add(Op.PROJECTION, (self,), lambda df: F.col(what), params={"column": what}, description=f"to [{what!r}]", reads=(what,)), (what,), what)
+            return Column_(self, self.session._add(Op.PICK, (self,), lambda df: F.col(what), params={"column": what}, description=f"to [{what!r}]", reads=(what,)), (what,), what)
         if isinstance(what, list):
-            return self._next(Op.PROJECTION, (self,), lambda df: relational.project(df, what), f"to {what}", what, reads=what, columns_=what)
-        return self._next(Op.SELECTION, (self, what), lambda df, mask: df.where(mask), "selection", self.columns, reads=what.reads)
+            return self._next(Op.PICK, (self,), lambda df: relational.project(df, what), f"to {what}", what, reads=what, columns_=what)
+        return self._next(Op.FILTER, (self, what), lambda df, mask: df.where(mask), "selection", self.columns, reads=what.reads)
 
     def assign(self, **columns) -> Frame:
         out = self
         for name, value in columns.items():
             names = out.columns if name in out.columns else [*out.columns, name]
             if isinstance(value, Column_):
-                out = out._next(Op.PROJECTION_MODIFY, (out, value), lambda df, c, name=name: df.withColumn(name, c), f"modifies [{name!r}]", names, reads=value.reads, writes=(name,), column=name)
+                out = out._next(Op.MAP, (out, value), lambda df, c, name=name: df.withColumn(name, c), f"modifies [{name!r}]", names, reads=value.reads, writes=(name,), column=name)
             else:
-                out = out._next(Op.PROJECTION_MODIFY, (out,), lambda df, name=name, value=value: df.withColumn(name, F.lit(value)), f"modifies [{name!r}]", names, writes=(name,), column=name, value=value)
+                out = out._next(Op.MAP, (out,), lambda df, name=name, value=value: df.withColumn(name, F.lit(value)), f"modifies [{name!r}]", names, writes=(name,), column=name, value=value)
         return out
 
     def dropna(self, subset=None, how="any") -> Frame:
-        return self._next(Op.SELECTION, (self,), lambda df: relational.dropna(df, subset, how), "dropna", self.columns, reads=subset or self.columns, subset=subset, how=how, dropna=True)
+        return self._next(Op.FILTER, (self,), lambda df: relational.dropna(df, subset, how), "dropna", self.columns, reads=subset or self.columns, subset=subset, how=how, dropna=True)
 
     def fillna(self, value) -> Frame:
-        return self._next(Op.PROJECTION_MODIFY, (self,), lambda df: relational.fillna(df, value), f"fillna {value!r}", self.columns, reads=self.columns, writes=self.columns, value=value)
+        return self._next(Op.MAP, (self,), lambda df: relational.fillna(df, value), f"fillna {value!r}", self.columns, reads=self.columns, writes=self.columns, value=value)
 
     def replace(self, old, new) -> Frame:
-        return self._next(Op.PROJECTION_MODIFY, (self,), lambda df: relational.replace(df, old, new), f"replace {old!r} by {new!r}", self.columns, reads=self.columns, writes=self.columns, old=old, new=new)
+        return self._next(Op.MAP, (self,), lambda df: relational.replace(df, old, new), f"replace {old!r} by {new!r}", self.columns, reads=self.columns, writes=self.columns, old=old, new=new)
 
     def sample(self, frac=None, n=None, seed=0) -> Frame:
-        return self._next(Op.SELECTION, (self,), lambda df: relational.sample(df, frac, n, seed), "sample", self.columns, frac=frac, n=n, seed=seed, exact=True)
+        return self._next(Op.FILTER, (self,), lambda df: relational.sample(df, frac, n, seed), "sample", self.columns, frac=frac, n=n, seed=seed, exact=True)
 
     def merge(self, other: Frame, on=None, left_on=None, right_on=None, how="inner", suffixes=("_x", "_y"), sort=False) -> Frame:
         lk, rk = ([on] if isinstance(on, str) else on, [on] if isinstance(on, str) else on) if on else ([left_on] if isinstance(left_on, str) else left_on, [right_on] if isinstance(right_on, str) else right_on)
@@ -217,22 +217,22 @@ class Frame:
         return Grouped(self, [keys] if isinstance(keys, str) else list(keys))
 
     def train_test_split(self, test_size=0.25, seed=0) -> tuple[Frame, Frame]:
-        main = self._next(Op.TRAIN_TEST_SPLIT, (self,), lambda df: relational.train_test_split(df, test_size, seed), "split", self.columns, test_size=test_size, seed=seed)
-        return tuple(main._next(Op.TRAIN_TEST_SPLIT, (main,), lambda v, i=i: v[i], f"split ({'train' if i == 0 else 'test'} data)", self.columns, part=i) for i in (0, 1))
+        main = self._next(Op.SPLIT, (self,), lambda df: relational.train_test_split(df, test_size, seed), "split", self.columns, test_size=test_size, seed=seed)
+        return tuple(main._next(Op.SPLIT, (main,), lambda v, i=i: v[i], f"split ({'train' if i == 0 else 'test'} data)", self.columns, part=i) for i in (0, 1))
 
     def retrieve(self, corpus: Frame, k=4, vector="embedding") -> Frame:
-        return self._next(Op.RAG_JOIN, (self, corpus), lambda q, c: relational.top_k(q, c, k, vector), f"{k} nearest", ["query", "doc", "distance", "rank"], k=k, vector=vector)
+        return self._next(Op.RETRIEVE, (self, corpus), lambda q, c: relational.top_k(q, c, k, vector), f"{k} nearest", ["query", "doc", "distance", "rank"], k=k, vector=vector)
 
     def extract(self, label: str) -> Frame:
-        return self._next(Op.EXTRACT_RESULT, (self,), lambda df: df, label, self.columns, label=label)
+        return self._next(Op.OUTPUT, (self,), lambda df: df, label, self.columns, label=label)
 
     # what a model sees; the markers say which side a frame is on
     def fit(self, features, model, label: str) -> Fitted:
-        train = self._next(Op.TRAIN_DATA, (self,), lambda df: df, "train data", self.columns)
-        fitted = self.session._add(Op.TRANSFORMER, (train,), lambda df: features.copy().fit(df), params={"transformer": features}, description=f"{type(features).__name__}: fit", phase=Phase.FIT, reads=tuple(features.columns))
-        seen = self.session.plan.add(Op.TRANSFORMER, (fitted, train.node), lambda t, df: t.apply(df), params={"apply": True}, description="apply (train)", phase=Phase.APPLY, columns=tuple(self.columns)).id
-        labels = self.session.plan.add(Op.TRAIN_LABELS, (seen,), lambda df: df, params={"label": label}, description="train labels", reads=(label,)).id
-        est = self.session.plan.add(Op.ESTIMATOR, (labels,), lambda df: models.make(model).fit(df, label), params={"model": model, "label": label}, description=type(models.make(model)).__name__, code=_code()).id
+        train = self._next(Op.ROLE, (self,), lambda df: df, "train rows", self.columns, role="train rows")
+        fitted = self.session._add(Op.ENCODE, (train,), lambda df: features.copy().fit(df), params={"transformer": features}, description=f"{type(features).__name__}: fit", phase=Phase.FIT, reads=tuple(features.columns))
+        seen = self.session.plan.add(Op.ENCODE, (fitted, train.node), lambda t, df: t.apply(df), params={"apply": True}, description="apply (train)", phase=Phase.APPLY, columns=tuple(self.columns)).id
+        labels = self.session.plan.add(Op.ROLE, (seen,), lambda df: df, params={"role": "train labels", "label": label}, description="train labels", reads=(label,)).id
+        est = self.session.plan.add(Op.FIT, (labels,), lambda df: models.make(model).fit(df, label), params={"model": model, "label": label}, description=type(models.make(model)).__name__, code=_code()).id
         return Fitted(self.session, fitted, est, label)
 
 
@@ -242,14 +242,14 @@ class Fitted:
 
     def predict(self, test: Frame) -> Frame:
         plan = self.session.plan
-        data = plan.add(Op.TEST_DATA, (test.node,), lambda df: df, description="test data", columns=tuple(test.columns)).id
-        seen = plan.add(Op.TRANSFORMER, (self.features, data), lambda t, df: t.apply(df), params={"apply": True}, description="apply (test)", phase=Phase.APPLY, columns=tuple(test.columns)).id
+        data = plan.add(Op.ROLE, (test.node,), lambda df: df, params={"role": "test rows"}, description="test rows", columns=tuple(test.columns)).id
+        seen = plan.add(Op.ENCODE, (self.features, data), lambda t, df: t.apply(df), params={"apply": True}, description="apply (test)", phase=Phase.APPLY, columns=tuple(test.columns)).id
         node = plan.add(Op.PREDICT, (self.model, seen), lambda m, df: m.predict(df), description="predict", columns=(*test.columns, "prediction"), code=_code()).id
         return Frame(self.session, node, [*test.columns, "prediction"])
 
     def score(self, test: Frame, metric: str = "accuracy", name: str | None = None) -> int:
         """Adds a score. It is a column to aggregate; the executor works out all scores of a frame in one pass."""
         predicted = self.predict(test)
-        labels = self.session.plan.add(Op.TEST_LABELS, (predicted.node,), lambda df: df, params={"label": self.label}, description="test labels", reads=(self.label,)).id
+        labels = self.session.plan.add(Op.ROLE, (predicted.node,), lambda df: df, params={"role": "test labels", "label": self.label}, description="test labels", reads=(self.label,)).id
         made = metrics.METRICS[metric]
         return self.session.plan.add(Op.SCORE, (labels,), lambda df: (df, made(self.label)), params={"metric": metric, "name": name or metric}, description=metric, code=_code()).id

@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType, FloatType
 from pipelens.functions.hashing import uniform
 
 RID = "_rid"
+FILE_NAMES = 256 << 20  # characters of all files' names together up to which they are broadcast
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -18,17 +19,29 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def with_rid(df: DataFrame, key: str | None = None, in_files: bool = False) -> DataFrame:
-    """Adds `_rid`: the natural key if one is named; for Parquet files the place in them (file, then row index), which
-    doesn't depend on how the scan is dealt to tasks; else Spark's increasing number, which is stable for one frame."""
+    """Adds `_rid`: the natural key if one is named; for Parquet files the place in them (the file's place in the sorted
+    list of files, then the row's index), which doesn't depend on how the scan is dealt to tasks, and of which no two
+    rows have the same; else Spark's increasing number, which holds for one frame whose scan is cut alike each time. Text
+    files don't know their rows' places: name a key where ids have to outlast the frame."""
     if RID in df.columns:
         return df
     if key:
         return df.withColumn(RID, F.col(key).cast("long"))
     if in_files:
-        return df.withColumn(RID, F.col("_metadata.row_index") + F.shiftleft(F.pmod(F.xxhash64("_metadata.file_path"), F.lit(1 << 20)), 40))
+        return _place_in_files(df)
     return df.withColumn(RID, F.monotonically_increasing_id())
 
 
+def _place_in_files(df: DataFrame) -> DataFrame:
+    files = sorted(df.inputFiles())
+    if len(files) < 2:
+        return df.withColumn(RID, F.col("_metadata.row_index"))
+    whole = lambda c: F.regexp_replace(c, "^([a-zA-Z0-9+.-]+):/+", "$1:/")  # noqa: E731  schemes are spelled in two ways
+    table = df.sparkSession.createDataFrame(list(enumerate(files)), "_file long, _path string").select("_file", whole("_path").alias("_path"))
+    table = F.broadcast(table) if sum(map(len, files)) < FILE_NAMES else table
+    return df.withColumn("_path", whole("_metadata.file_path")).withColumn("_row", F.col("_metadata.row_index")).join(table, "_path").select(*df.columns, (F.shiftleft("_file", 34) + F.col("_row")).alias(RID))
+
+
 def read_parquet(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     return nan_to_null(with_rid(spark.read.parquet(path), key, True))
 
@@ -75,14 +88,15 @@ class TextCache:
         self.spark, self.path = spark, path
 
     def _stored(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.path)
-        except Exception:  # noqa: BLE001  nothing stored so far
-            return None
+        """None if nothing is stored so far; whatever else goes wrong is an error."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.schema("_in string, _out string").parquet(self.path).groupBy("_in").agg(F.first("_out").alias("_out")) if there else None
 
     def apply(self, df: DataFrame, text: str, out: str, compute) -> DataFrame:
-        """compute: a column function. Texts that are missing from the table are computed once each and appended."""
+        """compute: a column function to strings. Texts that are missing from the table are computed once each and
+        appended. Two writers at once may both compute a text; readers take one of its rows."""
         known, texts = self._stored(), df.select(F.col(text).alias("_in")).where("_in is not null").distinct()
         new = texts if known is None else texts.join(known.select("_in"), "_in", "left_anti")
         new.select("_in", compute(F.col("_in")).alias("_out")).write.mode("append").parquet(self.path)
-        return df.join(self.spark.read.parquet(self.path).select(F.col("_in").alias(text), F.col("_out").alias(out)), text, "left")
+        return df.join(self._stored().select(F.col("_in").alias(text), F.col("_out").alias(out)), text, "left")

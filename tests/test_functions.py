@@ -1,11 +1,14 @@
 """Comparison semantics, seeded hashing, relational operators: the small known answers."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from pipelens.functions import expr as E
+from pipelens.functions import hashing
 from pipelens.functions import text as T
-from pipelens.functions.hashing import MODULUS, chosen, fractions, lcg, thresholds
+from pipelens.functions.hashing import MODULUS, chosen, draw, fractions, thresholds
 from pipelens.operators import relational as R
 from pipelens.sources import readers
 from pipelens.sources.readers import RID
@@ -44,15 +47,24 @@ def test_strings_and_maps(spark):
     assert col(readers.series(spark, ["1:2:3"], "string", "i"), T.parse_image(F.col("i"))) == [[1.0, 2.0, 3.0]]
 
 
-def test_hash_is_a_bijection_and_choices_are_exact_and_nested(spark):
+def plain_draw(rid, seed=0, stream=0):
+    return int(hashlib.md5(f"{rid}:{seed}:{stream}".encode()).hexdigest()[:8], 16) % MODULUS
+
+
+def test_choices_are_exact_nested_and_independent(spark, monkeypatch):
     df = spark.range(20_000).withColumnRenamed("id", RID)
-    assert df.select(lcg(F.col(RID), 3)).distinct().count() == 20_000
+    far = [0, 1, 5 + (1 << 40), 5 + (2 << 40), -3]  # the whole id counts
+    got = readers.inline(spark, [(i,) for i in far], "i long").select(draw(F.col("i"), 3, 1)).collect()
+    assert [r[0] for r in got] == [plain_draw(i, 3, 1) for i in far]
     preds = fractions(df, F.col(RID), [0.0, 0.2, 0.5, 0.9, 1.0], 7)
     got = [{r[0] for r in df.where(p).collect()} for p in preds]
     assert [len(g) for g in got] == [0, 4000, 10_000, 18_000, 20_000] and got[1] < got[2] < got[3]
-    order = sorted(range(20_000), key=lambda r: (((r % MODULUS) * 1103515245 + 12345 + 7 * 2654435) % MODULUS, r))
+    order = sorted(range(20_000), key=lambda r: (plain_draw(r, 7), r))
     assert got[1] == set(order[:4000])
-    same = spark.range(6).select((F.col("id") * MODULUS + 1).alias(RID))  # all hash alike: the ids decide
+    other = {r[0] for r in df.where(fractions(df, F.col(RID), [0.2], 8)[0]).collect()}
+    assert 600 < len(got[1] & other) < 1000  # of 4,000: another seed chooses other rows
+    same = spark.range(6).withColumnRenamed("id", RID)
+    monkeypatch.setattr(hashing, "draw", lambda rid, seed=0, stream=0: F.lit(7).cast("long"))  # all alike: the ids decide
     t = thresholds(same, F.col(RID), [0, 1, 3, 6])
     assert [same.where(chosen(F.col(RID), x)).count() for x in t] == [0, 1, 3, 6]
 

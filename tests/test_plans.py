@@ -44,7 +44,7 @@ def test_recording_and_rerun(spark):
     p = plan(spark)
     assert Executor().scores([p]) == [{"accuracy": 1.0}]
     assert p.key(p.only(Op.PREDICT).id) == (q := plan(spark)).key(q.only(Op.PREDICT).id)
-    assert p.only(Op.ESTIMATOR).code[0].endswith("test_plans.py") and "digraph" in p.to_dot()
+    assert p.only(Op.FIT).code[0].endswith("test_plans.py") and "digraph" in p.to_dot()
     s = Session(spark)
     f = s.frame([(1, 2.0), (2, None)], "a long, b double")
     g = f.assign(c=f["a"] / f["b"] + 1, d="x").dropna().fillna(0).replace("x", "y")[["a", "c", "d"]]
@@ -94,9 +94,9 @@ def test_variants_share_their_prefix(spark):
 
 def test_filters_move_above_shared_work(spark):
     p = plan(spark, filtered)
-    f = next(n for n in p.of(Op.SELECTION))
+    f = next(n for n in p.of(Op.FILTER))
     moved = push_filters_up(p, [[f.id]], {f.id: 0.9})
-    sel, join = moved.of(Op.SELECTION)[0], moved.of(Op.JOIN)[0]
+    sel, join = moved.of(Op.FILTER)[0], moved.of(Op.JOIN)[0]
     assert join.id in moved.ancestors(sel.id) and Executor().scores([moved]) == Executor().scores([p])
     assert push_filters_up(p, [[f.id]], {f.id: 0.1}) is p  # too selective: the shared work would grow
     assert Executor().scores([RemoveNode(sel.id).apply(moved).pruned()]) == Executor().scores([RemoveNode(f.id).apply(p).pruned()])
