@@ -100,10 +100,13 @@ CLEANERS = {
 
 @dataclass
 class DataCleaning(Analysis):
-    """columns: {column or None: ErrorType}; None is the label. methods: those to try, of CLEANERS (default: all)."""
+    """columns: {column or None: ErrorType}; None is the label. methods: those to try, of CLEANERS (default: all).
+    shapley_rows: training rows by which the Shapley method values all the others, chosen by hash; None takes all, at
+    a cost of rows times rows."""
 
     columns: dict
     methods: list[str] | None = None
+    shapley_rows: int | None = 100
 
     def variants(self, plan, executor):
         out = [Variant({"corrupted_column": None, "error": None, "cleaning_method": None})]
@@ -124,17 +127,17 @@ class DataCleaning(Analysis):
             return [ReplaceFrame(lambda train, df: relational.drop_duplicates(df, [column]), said)]
         n = plan.only(Op.FIT)
         inner, label = n.params["model"], n.params["label"]
-        return [ReplaceModel(lambda: Doubted(inner, name, label), said)]
+        return [ReplaceModel(lambda: Doubted(inner, name, label, self.shapley_rows), said)]
 
 
 class Doubted(models.Model):
     """Fits on the rows whose labels aren't doubted: by out-of-fold probabilities, or by negative Shapley values."""
 
-    def __init__(self, inner, method: str, label: str):
-        self.inner, self.method = inner, method
+    def __init__(self, inner, method: str, label: str, rows: int | None = 100):
+        self.inner, self.method, self.rows = inner, method, rows
 
     def spec(self):
-        return {"method": self.method}
+        return {"method": self.method, "rows": self.rows}
 
     def fit(self, df, label):
         if self.method == "shapley":
@@ -143,7 +146,7 @@ class Doubted(models.Model):
             from pipelens.operators.diagnostics import knn_shapley
 
             v = df.select(RID, label, vector_to_array("features").alias("_x"))
-            few = relational.sample(v, n=min(100, v.count()), seed=3)
+            few = v if self.rows is None else relational.sample(v, n=min(self.rows, v.count()), seed=3)
             bad = knn_shapley(v, few, "_x", label, 10).where("shapley < 0").select(F.col("train").alias(RID))
         else:
             bad = cleaning.confident_learning(df, label, models.proxy).where("doubted").select(RID)

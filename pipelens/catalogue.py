@@ -773,3 +773,6 @@ def _(spark, d):
 def _(spark, d):
     o = with_rid(t(spark, d, "orders"))
     return o.select("o_orderkey", draw(F.col(RID), 9, 3).alias("u"))
+
+
+from pipelens import catalogue_more  # noqa: E402, F401  registers the rest

@@ -6,18 +6,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pipelens.functions.text import spell_fix
+from pipelens.operators.quantiles import quantiles, summary
 from pipelens.sources.readers import RID
 
-REPAIRS = {"mean": F.avg, "median": F.median, "mode": lambda c: F.mode(c, True)}
-
-
 def outlier_bounds(df: DataFrame, column: str, rule: str = "sd") -> tuple[float, float]:
     """sd: mean plus and minus three population deviations; iqr: quartiles plus and minus k ranges (k = 1.5, or as in iqr:k)."""
     if rule == "sd":
         m, s = df.agg(F.avg(column), F.stddev_pop(column)).first()
         return (m or 0.0) - 3 * (s or 0.0), (m or 0.0) + 3 * (s or 0.0)
     k = float(rule.partition(":")[2] or 1.5)
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))).first()[0] or [0.0, 0.0]
+    q = quantiles(df, column, [0.25, 0.75]) or [0.0, 0.0]
     return q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])
 
 
@@ -30,7 +29,7 @@ def repair_outliers(train: DataFrame, apply_to: DataFrame, column: str, rule: st
     if rule == "if":
         return _isolation_repair(train, apply_to, column, repair)
     bounds = outlier_bounds(train, column, rule)
-    value = train.where(~is_outlier(F.col(column), bounds)).agg(REPAIRS[repair](column)).first()[0]
+    value = summary(train.where(~is_outlier(F.col(column), bounds)), column, repair)
     return apply_to.withColumn(column, F.when(is_outlier(F.col(column), bounds), F.lit(value)).otherwise(F.col(column)))
 
 
@@ -91,7 +90,7 @@ def _isolation_repair(train: DataFrame, apply_to: DataFrame, column: str, repair
 
     if forest is None:
         return apply_to
-    value = train.where(~odd(F.col(column))).agg(REPAIRS[repair](column)).first()[0]
+    value = summary(train.where(~odd(F.col(column))), column, repair)
     return apply_to.withColumn(column, F.when(odd(F.col(column)), F.lit(value)).otherwise(F.col(column)))
 
 
@@ -99,10 +98,31 @@ def repair_missing(train: DataFrame, apply_to: DataFrame, column: str, method: s
     """mean, median, mode, dummy, or delete (training rows only)."""
     if method == "delete":
         return apply_to.where(F.col(column).isNotNull())
-    value = "missing" if method == "dummy" else train.agg(REPAIRS[method](column)).first()[0]
+    value = "missing" if method == "dummy" else summary(train, column, method)
     return apply_to.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
 
 
+def repair_rare(train: DataFrame, apply_to: DataFrame, column: str, share: float = 0.01) -> DataFrame:
+    """Categories that at most `share` of the training rows have, or none, become the most frequent one. By themselves
+    in a forest over one-hot columns, the rarest categories are the ones that are isolated first."""
+    counts = train.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("_n"))
+    total, value = train.where(F.col(column).isNotNull()).count(), summary(train, column, "mode")
+    common = counts.where(F.col("_n") > share * total).select("_value", F.lit(True).alias("_common"))
+    out = apply_to.join(common, F.col(column) == F.col("_value"), "left")
+    return out.withColumn(column, F.when(F.col(column).isNotNull() & F.col("_common").isNull(), F.lit(value)).otherwise(F.col(column))).drop("_value", "_common")
+
+
+def repair_typos(train: DataFrame, apply_to: DataFrame, column: str, typing: tuple[str, str]) -> DataFrame:
+    """Words that no training text has become the most frequent training word that they may be a mistyping of: typing
+    has the right characters and, place by place, the wrong ones. Words of the training texts stay as they are."""
+    words = lambda df: df.select(F.explode(F.split(F.col(column), " ")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+    plain = lambda c: F.translate(c, typing[1], typing[0])
+    known = words(train)
+    right = known.groupBy(plain("w").alias("form")).agg(F.max_by("w", F.struct("n", "w")).alias("right"))
+    wrong = words(apply_to).join(known.select("w"), "w", "left_anti").select(F.col("w").alias("wrong"), plain("w").alias("form"))
+    return spell_fix(apply_to, column, wrong.join(right, "form").select("wrong", "right"))
+
+
 def confident_learning(df: DataFrame, label: str, make_model, folds: int = 5) -> DataFrame:
     """Rows whose given label is doubted: out-of-fold probabilities against each class's mean self-confidence.
 

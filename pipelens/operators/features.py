@@ -6,14 +6,19 @@ row's assembly and never a join.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import PCA, HashingTF, NGram, Normalizer, RegexTokenizer, VectorAssembler, Word2Vec
+from pyspark.ml.feature import IDF, PCA, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, VectorAssembler, Word2Vec
 from pyspark.ml.feature import CountVectorizer as MLCountVectorizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pipelens.functions.hooks import embed, letter_pairs
+from pipelens.operators.quantiles import quantiles, summary
+
 
 class Transformer:
     """fit(df) learns from training rows, apply(df) adds the outputs. `outputs` are known after fit."""
@@ -65,7 +70,7 @@ class RobustScaler(Transformer):
 
     def fit(self, df):
         lo, hi = (q / 100 for q in self.quantiles)
-        r = df.agg(*(F.percentile(c, F.array(F.lit(lo), F.lit(0.5), F.lit(hi))).alias(f"q{i}") for i, c in enumerate(self.columns))).first()
+        r = [quantiles(df, c, [lo, 0.5, hi]) for c in self.columns]
         self._center = [q[1] if q and self.centering else 0.0 for q in r]
         self._scale = [(q[2] - q[0]) or 1.0 if q and self.scaling else 1.0 for q in r]
         return self
@@ -92,8 +97,10 @@ class KBinsDiscretizer(Transformer):
                 centers = sorted(float(x[0]) for x in m.clusterCenters())
                 self._edges.append([(a + b) / 2 for a, b in zip(centers, centers[1:], strict=False)])
             return self
-        ask = [F.percentile(c, F.array(*(F.lit(i / self.n_bins) for i in range(self.n_bins + 1)))) if self.strategy == "quantile" else F.array(F.min(c), F.max(c)) for c in self.columns]
-        r = df.agg(*(a.alias(f"e{i}") for i, a in enumerate(ask))).first()
+        if self.strategy == "quantile":
+            r = [quantiles(df, c, [i / self.n_bins for i in range(self.n_bins + 1)]) or [] for c in self.columns]
+        else:
+            r = df.agg(*(F.array(F.min(c), F.max(c)).alias(f"e{i}") for i, c in enumerate(self.columns))).first()
         self._edges = []
         for e in r:
             if self.strategy == "quantile":
@@ -143,8 +150,10 @@ class SimpleImputer(Transformer):
             kinds = dict(df.dtypes)
             self._value = [self.fill_value if self.fill_value is not None else ("missing_value" if kinds[c] == "string" else 0) for c in self.columns]
         else:
-            f = {"mean": F.avg, "median": F.median, "most_frequent": lambda c: F.mode(c, True)}[self.strategy]
-            self._value = list(df.agg(*(f(c).alias(f"v{i}") for i, c in enumerate(self.columns))).first())
+            if self.strategy == "mean":
+                self._value = list(df.agg(*(F.avg(c).alias(f"v{i}") for i, c in enumerate(self.columns))).first())
+            else:
+                self._value = [summary(df, c, {"median": "median", "most_frequent": "mode"}[self.strategy]) for c in self.columns]
         self._missing = [c for c, n in zip(self.columns, df.agg(*(F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(self.columns))).first(), strict=True) if n] if self.add_indicator else []
         return self
 
@@ -219,24 +228,18 @@ class TfidfTransformer(Transformer):
     sublinear: bool = False
 
     def fit(self, df):
-        arr = vector_to_array(F.col(self.columns[0]))
-        n = df.count()
-        counted = df.select(F.posexplode(arr)).where("col > 0").groupBy("pos").count().collect()
-        size = len(df.select(arr.alias("a")).first()["a"])
-        by = {r["pos"]: r["count"] for r in counted}
-        import math
-
-        self._idf = [math.log((1 + n) / (1 + by.get(i, 0))) + 1 for i in range(size)]
+        """Document frequencies are summed over sparse vectors; what reaches the driver is as long as the vocabulary."""
+        m = IDF(inputCol=self.columns[0], outputCol="_idf").fit(df)
+        self._idf = [math.log((1 + m.numDocs) / (1 + n)) + 1 for n in m.docFreq]
         return self
 
     outputs = property(lambda self: self.columns)
 
     def apply(self, df):
         c = self.columns[0]
-        tf = vector_to_array(F.col(c))
-        tf = F.transform(tf, lambda x: F.when(x > 0, F.log(x) + 1).otherwise(0.0)) if self.sublinear else tf
-        w = F.zip_with(tf, F.lit(self._idf), lambda a, b: a * b)
-        df = df.withColumn(c, array_to_vector(w))
+        if self.sublinear:  # the logarithm has no sparse form
+            df = df.withColumn(c, array_to_vector(F.transform(vector_to_array(F.col(c)), lambda x: F.when(x > 0, F.log(x) + 1).otherwise(0.0))))
+        df = ElementwiseProduct(scalingVec=Vectors.dense(self._idf), inputCol=c, outputCol="_w").transform(df).withColumn(c, F.col("_w")).drop("_w")
         return Normalizer(p=2.0, inputCol=c, outputCol="_n").transform(df).withColumn(c, F.col("_n")).drop("_n") if self.norm else df
 
 
@@ -312,6 +315,20 @@ class TruncatedSVD(Transformer):
         return df.withColumn(self.output, array_to_vector(F.array(*parts)))
 
 
+@dataclass
+class EmbeddingTransformer(Transformer):
+    """Vectors of texts by a provider (`functions.hooks`): a function over lists of texts, called by Arrow batch."""
+
+    columns: list[str]
+    provider: object = field(default_factory=letter_pairs)
+    output: str = "embedded"
+
+    outputs = property(lambda self: [self.output])
+
+    def apply(self, df):
+        return df.withColumn(self.output, array_to_vector(embed(self.provider)(F.coalesce(F.col(self.columns[0]), F.lit("")))))
+
+
 @dataclass
 class Word2VecTransformer(Transformer):
     """Mean word vectors; unknown words count as zero."""
@@ -360,7 +377,7 @@ class Pipeline(Transformer):
 
 
 class ColumnTransformer(Transformer):
-    """Named transformers over columns of one frame; all outputs make one vector. Also the union of features."""
+    """Named transformers over columns of one frame; all outputs make one vector."""
 
     def __init__(self, *transformers: Transformer, output: str = "features"):
         self.transformers, self.output = list(transformers), output
@@ -377,6 +394,9 @@ class ColumnTransformer(Transformer):
             t.fit(df)
         return self
 
+    def _weighed(self, i, made):
+        return made
+
     def apply(self, df):
         """Every transformer reads the input columns under their own names; what it makes is set aside, and the inputs
         are put back for the next one. All of it is one projection of the same row."""
@@ -385,7 +405,25 @@ class ColumnTransformer(Transformer):
             df = df.withColumns({f"_in_{c}": F.col(c) for c in t.columns})
             df = t.apply(df)
             made = {f"_f{i}_{k}": F.col(f"`{c}`") for k, c in enumerate(getattr(t, "outputs", t.columns))}
+            made = self._weighed(i, made)
             names += made
             drop = [c for c in df.columns if c not in keep and not c.startswith(("_in_", "_f"))]
             df = df.withColumns(made).drop(*drop).withColumns({c: F.col(f"_in_{c}") for c in t.columns}).drop(*(f"_in_{c}" for c in t.columns))
         return assemble(df, names, self.output).select(*keep, self.output)
+
+
+class FeatureUnion(ColumnTransformer):
+    """Several transformers of the same columns, side by side in one vector; weights multiply their outputs."""
+
+    def __init__(self, *transformers: Transformer, weights: list[float] | None = None, output: str = "features"):
+        self.weights = weights
+        super().__init__(*transformers, output=output)
+
+    def copy(self):
+        return FeatureUnion(*(t.copy() for t in self.transformers), weights=self.weights, output=self.output)
+
+    def spec(self):
+        return super().spec() | {"weights": self.weights}
+
+    def _weighed(self, i, made):
+        return made if self.weights is None else {k: c * self.weights[i] for k, c in made.items()}

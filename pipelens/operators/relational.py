@@ -47,10 +47,10 @@ def sample(df: DataFrame, frac: float | None = None, n: int | None = None, seed:
     return df.where(chosen(F.col(RID), thresholds(df, F.col(RID), [n], seed)[0], seed))
 
 
-def merge(left: DataFrame, right: DataFrame, on: list[str] | None = None, left_on: list[str] | None = None, right_on: list[str] | None = None, how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y"), sort: bool = False) -> DataFrame:
-    """Missing keys match missing keys. Equal key names become one column; other names in common get the suffixes.
+def merge(left: DataFrame, right: DataFrame, on: list[str] | None = None, left_on: list[str] | None = None, right_on: list[str] | None = None, how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y"), sort: bool = False, left_index: bool = False, right_index: bool = False) -> DataFrame:
+    """left_index and right_index take the row id for a side's key. Missing keys match missing keys. Equal key names become one column; other names in common get the suffixes.
     The rows' provenance columns of both sides are kept."""
-    lk, rk = (on, on) if on else (left_on, right_on)
+    lk, rk = (on, on) if on else ([RID] if left_index else left_on, [RID] if right_index else right_on)
     shared = {a for a, b in zip(lk, rk, strict=True) if a == b}
     common = (set(left.columns) & set(right.columns)) - shared
     name = lambda c, s: c if c not in common else (f"_prov_{c.removeprefix('_prov_')}{s}" if c.startswith(HIDDEN) else c + s)
@@ -149,7 +149,15 @@ def fuzzy_merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     return twice.select(*(F.col(f"l.`{c}`") for c in a.columns if c != "_times"), *(F.col(f"r.`{c}`") for c in b.columns if c != "_times"))
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 4, vector: str = "embedding", tiles: int = 8) -> DataFrame:
+def top_k_again(found: DataFrame, changed: DataFrame, corpus: DataFrame, k: int = 4, vector: str = "embedding") -> DataFrame:
+    """What top_k gives after some queries have changed: only these are looked up again."""
+    return found.join(changed.select(F.col(RID).alias("query")), "query", "left_anti").unionByName(top_k(changed, corpus, k, vector))
+
+
+TILE = 50_000  # vectors of a tile of queries or of the corpus, about
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int = 4, vector: str = "embedding", tiles: int | None = None) -> DataFrame:
     """(query, doc, distance, rank): every query's k nearest corpus rows by Euclidean distance, ties by id.
 
     Queries and corpus meet in pairs of tiles; numpy works out each pair's distances and hands on k rows a query, so
@@ -158,6 +166,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 4, vector: str = "embe
     import numpy as np
     import pandas as pd
 
+    tiles = tiles or max(8, -(-max(corpus.count(), queries.count()) // TILE))
     q = queries.where(F.col(vector).isNotNull()).select(F.lit(0).alias("side"), F.col(RID).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(RID), F.lit(tiles)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("b"))
     c = corpus.where(F.col(vector).isNotNull()).select(F.lit(1).alias("side"), F.col(RID).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.explode(F.expr(f"sequence(0L, {tiles - 1}L)")).alias("a"), F.pmod(F.xxhash64(RID), F.lit(tiles)).cast("int").alias("b"))
 
