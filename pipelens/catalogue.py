@@ -12,7 +12,6 @@ from pipelens.functions.hashing import fractions, draw
 from pipelens.operators import cleaning, corruption, diagnostics, features, metrics, models
 from pipelens.operators import relational as R
 from pipelens.plans.executor import Executor
-from pipelens.plans.plan import Op
 from pipelens.plans.session import Session
 from pipelens.sources.readers import RID, read_parquet, with_rid
 
@@ -698,18 +697,21 @@ def _(spark, d):
     return spark.createDataFrame([(str(found.get("slice")), found.get("before"), found.get("after"))], "slice string, before double, after double")
 
 
-@query("ivm_changes_report", "SELECT 1 AS replacement, 0 AS addition, 0 AS deletion, 0 AS too_many")
+@query("changed_pipeline_report", f"WITH {base_sql()} SELECT 'first' AS run, {accuracy_sql('p')} AS accuracy, 0 AS replacement UNION ALL SELECT 'changed', {_DUMMY}, 1 UNION ALL SELECT 'back', {accuracy_sql('p')}, 1")
 def _(spark, d):
-    from pipelens.plans.ivm import classify
+    """A pipeline, an edit of its model, and back again; each run takes over what the one before has left."""
+    from pipelens import api
 
-    c = classify(plan_of(spark, d), plan_of(spark, d, model=models.Dummy))
-    return spark.createDataFrame([(c.replacement, c.addition, c.deletion, c.too_many)], "replacement int, addition int, deletion int, too_many int")
-
-
-@query("plan_operators", None)
-def _(spark, d):
-    p = plan_of(spark, d)
-    return spark.createDataFrame([(n.op.value, n.description, len(n.parents)) for n in p.of(*Op)], "operator string, description string, parents int")
+    edits = [("first", {}), ("changed", {"model": models.Dummy}), ("back", {})]
+    rows, earlier = [], None
+    for name, edit in edits:
+        record = orders_pipeline(d, **edit)
+        r = (api.on_changed(spark, earlier, record) if earlier else api.on_pipeline(spark, record)).execute()
+        if earlier and not r.info["reused"]:
+            raise AssertionError("nothing of the earlier run was taken over")
+        rows.append((name, round(r.scores["accuracy"], 4), r.changes.replacement if r.changes else 0))
+        earlier = r.extraction
+    return spark.createDataFrame(rows, "run string, accuracy double, replacement int")
 
 
 # --- models of pyspark.ml: values depend on the library, so rows only --------------------------------------------------

@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs
+    on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     app = spark.sparkContext.applicationId
     if named is None:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="pipelens-")
         named = _own[app]
@@ -72,17 +75,18 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
+BATCH_ROWS, BATCH_BYTES, SCAN_ROWS = 2048, 4 << 20, 512
 
 
 def map_arrow(df: DataFrame, f, schema) -> DataFrame:
     """df.mapInArrow, by batches of BATCH_BYTES and BATCH_ROWS at most, or fewer rows if the session says so. Rows hold
     whole texts, and Spark's 10,000 of them would be the largest thing in a task's memory, in the executor as well as in
-    its Python worker. A larger row is a batch of its own. The settings stay in the session, as plans read them when
-    they run."""
+    its Python worker; so would the 4,096 of them that its Parquet reader takes at once. A larger row is a batch of its
+    own. The settings stay in the session, as plans read them when they run."""
     conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf.set(rows, min(BATCH_ROWS, int(conf.get(rows))) if int(conf.get(rows)) > 0 else BATCH_ROWS)
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    conf.set("spark.sql.parquet.columnarReaderBatchSize", min(SCAN_ROWS, int(conf.get("spark.sql.parquet.columnarReaderBatchSize"))))
     return df.mapInArrow(tidy(f), schema)
 
 

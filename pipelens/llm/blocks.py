@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from pipelens.llm._shared import col, fresh, map_arrow, materialise
 
 BLOCK = 32 << 20  # bytes of text that share one dictionary in a worker's memory
-SLICE = 2 << 20  # bytes of text that are cut at once; divides BLOCK
+SLICE = 1 << 20  # bytes of text that are looked at at once
+PACK = 1 << 18  # bytes of text, and at most that many rows / 32 of known parts, that are packed into one row: larger ones
+# would be objects of whole heap regions in the executor; divides BLOCK
 PACKED = "block long, late boolean, packed binary"
 
 
@@ -41,7 +43,7 @@ def _blocks(batches, at: int):
         b = b.select(list(range(b.num_columns - 1)))
         ends = np.cumsum(pc.binary_length(b.column(at)).fill_null(0).to_numpy(), dtype=np.int64) + total
         starts = np.concatenate([[total], ends[:-1]])
-        cuts = (np.flatnonzero(np.diff(starts // SLICE)) + 1).tolist()
+        cuts = (np.flatnonzero(np.diff(starts // PACK)) + 1).tolist()
         for s, e in zip([0, *cuts], [*cuts, len(b)], strict=True):
             yield base + int(starts[s]) // BLOCK, b.slice(s, e - s)
         total = int(ends[-1])
@@ -117,23 +119,33 @@ def meet(docs: DataFrame, text_col: str, parts, known, begin, finish, schema, tr
         block, rest = t.column("block").to_numpy(), t.drop_columns(["block"])
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
         for a, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if e > a:
-                yield _row(int(block[a]), False, rest.slice(a, e - a).combine_chunks())
+            for i in range(a, e, PACK // 32):
+                yield _row(int(block[a]), False, rest.slice(i, min(e - i, PACK // 32)).combine_chunks())
 
     def meeting(batches):
-        now, tables, given = None, [], None
+        now, tables, given, held, size = None, [], None, [], 0
         for b in batches:
             for r in range(len(b)):
                 if (block := b.column(0)[r].as_py()) != now:
-                    now, tables, given = block, [], None
+                    yield from finished(held, given)
+                    now, tables, given, held, size = block, [], None, [], 0
                 with pa.ipc.open_stream(b.column(2)[r].as_buffer()) as s:
                     if not b.column(1)[r].as_py():
                         tables.append(s.read_all())
                         continue
                     if given is None:
                         given, tables = begin(tables), []
-                    for texts in s:
-                        yield finish(texts, given)
+                    held.append(s.read_all())
+                    size += held[-1].nbytes
+                if size > SLICE:
+                    yield from finished(held, given)
+                    held, size = [], 0
+        yield from finished(held, given)
+
+    def finished(held, given):
+        if held:
+            for texts in pa.concat_tables(held).combine_chunks().to_batches():
+                yield finish(texts, given)
 
     pairs = map_arrow(docs.select(col(text_col), F.spark_partition_id().alias(number)), name_parts, "block long, part string").repartition("part")
     texts = map_arrow(docs.withColumn(number, F.spark_partition_id()), pack_texts, PACKED)

@@ -119,6 +119,7 @@ def sampled(docs: DataFrame, key: Column, text_col: str = "text", lang_col: str
     counts = labelled.groupBy("lang").count()
     if not (langs := counts.count()):
         return []
+    counts = F.broadcast(counts) if langs <= ROWS else counts  # else all texts would be shuffled
     share = F.least(F.lit(1.0), F.lit(max(1, min(sample, ROWS // langs))) / F.col("count"))
     chosen = labelled.join(counts, "lang").where(F.pmod(F.xxhash64("key", F.lit("language sample")), F.lit(2**30)) < share * 2**30)
     got = chosen.select("text", "lang").toArrow()

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from pipelens.sources.readers import RID
 
 
+BLOCK = 1024  # rows of the query set that meet a training row at once
+
+
 def distances(train: DataFrame, test: DataFrame, vector: str, label: str) -> DataFrame:
     """(test, train, d, hit) for every pair. test is a stated query set, which is met block by block: its rows travel
-    as one array of bounded size a block to the training rows."""
+    as one array of about BLOCK rows a block to the training rows."""
+    n = max(64, -(-test.count() // BLOCK))
     sq = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    blocks = test.select(F.pmod(F.xxhash64(RID), F.lit(64)).alias("block"), F.struct(F.col(RID).alias("test"), F.col(vector).alias("v"), F.col(label).alias("y")).alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs"))
-    met = train.select(F.col(RID).alias("train"), F.col(vector).alias("tv"), F.col(label).alias("ty"), F.explode(F.expr("sequence(0L, 63L)")).alias("block")).join(blocks, "block")
+    blocks = test.select(F.pmod(F.xxhash64(RID), F.lit(n)).alias("block"), F.struct(F.col(RID).alias("test"), F.col(vector).alias("v"), F.col(label).alias("y")).alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs"))
+    met = train.select(F.col(RID).alias("train"), F.col(vector).alias("tv"), F.col(label).alias("ty"), F.explode(F.expr(f"sequence(0L, {n - 1}L)")).alias("block")).join(blocks, "block")
     return met.select("train", "tv", "ty", F.explode("qs").alias("q")).select("q.test", "train", sq(F.col("tv"), F.col("q.v")).alias("d"), (F.col("ty") == F.col("q.y")).cast("int").alias("hit"))
 
 
@@ -35,16 +39,14 @@ def slice_finder(df: DataFrame, features: list[str], error: str, alpha: float =
     """The k slices of up to max_level features with the best score, if it is positive: features as columns (NULL where
     the slice leaves one open), size, error_sum, score. Missing values count as 'nan'. One grouping-sets aggregation."""
     df = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in features), F.col(error).cast("double").alias("_e")).where(F.col("_e").isNotNull())
-    df.createOrReplaceTempView(view := f"slices_{abs(hash((tuple(features), error))) % 10**8}")
-    sets = ", ".join(f"({', '.join(f'`{c}`' for c in s)})" for n in range(1, max_level + 1) for s in combinations(features, n))
-    cols = ", ".join(f"`{c}`" for c in features)
-    return df.sparkSession.sql(f"""
-        WITH t AS (SELECT count(*) AS n, avg(_e) AS e FROM {view}),
-        g AS (SELECT {cols}, count(*) AS size, sum(_e) AS error_sum FROM {view} GROUP BY GROUPING SETS ({sets}))
-        SELECT {cols}, size, error_sum, {alpha} * (error_sum / size / t.e - 1) - {1 - alpha:.12g} * (t.n / size - 1) AS score
-        FROM g CROSS JOIN t WHERE size >= {min_support} AND error_sum > 0 AND t.e > 0
-        AND {alpha} * (error_sum / size / t.e - 1) - {1 - alpha:.12g} * (t.n / size - 1) > 0
-        ORDER BY score DESC, {cols} LIMIT {k}""")
+    n, mean = df.agg(F.count("*"), F.avg("_e")).first()
+    n, mean = n or 0, mean or 0.0
+    sets = [[F.col(f"`{c}`") for c in s] for level in range(1, max_level + 1) for s in combinations(features, level)]
+    columns = [F.col(f"`{c}`") for c in features]
+    g = df.groupingSets(sets, *columns).agg(F.count("*").alias("size"), F.sum("_e").alias("error_sum"))
+    score = F.lit(alpha) * (F.col("error_sum") / F.col("size") / F.lit(mean or 1.0) - 1) - F.lit(1 - alpha) * (F.lit(n) / F.col("size") - 1)
+    g = g.select(*columns, "size", "error_sum", score.alias("score")).where((F.col("size") >= min_support) & (F.col("error_sum") > 0) & F.lit(mean > 0) & (F.col("score") > 0))
+    return g.orderBy(F.desc("score"), *columns).limit(k)
 
 
 def flipped_predictions(retrieved: DataFrame, changed: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ class Counters:
     kept: int = 0
     released: int = 0
     actions: int = 0
-    stopped: int = 0
     ms: dict[str, float] = field(default_factory=dict)
 
 
