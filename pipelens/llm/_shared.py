@@ -75,7 +75,7 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-BATCH_ROWS, BATCH_BYTES, SCAN_ROWS = 2048, 4 << 20, 512
+BATCH_ROWS, BATCH_BYTES, SCAN_ROWS = 2048, 1 << 20, 512
 
 
 def map_arrow(df: DataFrame, f, schema) -> DataFrame:
