@@ -325,11 +325,12 @@ def test_lm_grid_grows_with_the_words():
 
 
 def test_lm_tasks_are_averaged_by_their_positions(spark):
-    docs = spark.createDataFrame([("a b c d " * 400,), ("d c b a " * 100,)], "text string").repartition(2)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([("a b c d " * 400,), ("d c b a " * 100,)], 2), "text string")
     words = [f"{c}" for c in "abcd"]
     grid, counts = lm_scoring.Grid(8, words), np.zeros(64)
     counts[:4] = 500
     parts = [[r["text"] for r in rows] for rows in docs.rdd.glom().collect() if rows]
+    assert len(parts) == 2
     total, n = 0.0, 0
     for rows in parts:
         net, state, k = lm_scoring.Network(8, counts), {}, 0
