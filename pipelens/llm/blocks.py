@@ -67,8 +67,8 @@ def _row(block: int, late: bool, table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([late]), packed], names=["block", "late", "packed"])
 
 
-def meet(docs: DataFrame, text_col: str, parts, known, begin, finish, schema, trim=lambda b: b) -> DataFrame:
-    """finish(rows, begin(tables)) for all rows of docs in batches, by tasks.
+def meet(docs: DataFrame, text_col: str, parts, known, begin, finish, schema, trim=lambda b: b, at_once: int = SLICE) -> DataFrame:
+    """finish(rows, begin(tables)) for all rows of docs in batches of about `at_once` bytes of text, by tasks.
 
     parts(texts): the distinct parts of a column of texts that are looked up. known(pairs): of rows (block, part), the
     rows of those that are known with more columns, by a join on part. trim(batch) may change these rows before they are
@@ -137,7 +137,7 @@ def meet(docs: DataFrame, text_col: str, parts, known, begin, finish, schema, tr
                         given, tables = begin(tables), []
                     held.append(s.read_all())
                     size += held[-1].nbytes
-                if size > SLICE:
+                if size > at_once:
                     yield from finished(held, given)
                     held, size = [], 0
         yield from finished(held, given)

@@ -14,7 +14,6 @@ end with is the network. It depends, within what training leaves open, on how th
 from __future__ import annotations
 
 import math
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,13 +31,16 @@ HIDDEN = 24
 BATCH = 2048  # positions that one step of training looks at, whatever the size of the table
 PASSES = 1  # over a task's rows, likewise
 RATE = 0.1
+TEXTS = 4 << 20  # bytes of text that are scored at once; a block's words are made a hash table for each
 FLUSH = 300_000  # different words that a task holds at once
+TILE = 32  # positions of one class in a matrix product
 SHARD = 1 << 16  # numbers of the network that are averaged at once
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts in a row, in lower case, and where each text's words end. Null texts have none."""
-    split = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    # at a last text's end Arrow looks beyond its memory and may keep white space in the word before
+    split = pc.utf8_split_whitespace(pc.utf8_rtrim_whitespace(pc.utf8_lower(pc.fill_null(texts, ""))))
     flat, ends = split.flatten(), split.offsets.to_numpy().astype(np.int64)
     full = pc.greater(pc.binary_length(flat), 0)  # white space at a text's ends makes empty ones
     count = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
@@ -72,39 +74,99 @@ class Grid:
 
     def shared(self, word: str) -> int:
         """The cell of a word that has none of its own: the class by its ending, the place by the whole word."""
-        raw, first = word.encode("utf-8", "replace"), self.side // 2
-        return (first + zlib.crc32(word[-2:].encode("utf-8", "replace")) % (self.side - first)) * self.side + zlib.crc32(raw) % self.side
+        return int(self._shared(pa.array([word]))[0])
+
+    def _shared(self, words: pa.Array) -> np.ndarray:
+        first = self.side // 2
+        by_end = _hashed(pc.utf8_slice_codeunits(words, -2)) % np.uint64(self.side - first)
+        return (first + by_end.astype(np.int32)) * self.side + (_hashed(words) % np.uint64(self.side)).astype(np.int32)
 
     def cells(self, words: pa.Array) -> np.ndarray:
-        """The cells of many words; each different one is looked up once."""
-        coded = words.dictionary_encode()
-        at = pc.index_in(coded.dictionary, value_set=pa.array(self.top, pa.string()))
+        """The cells of many words."""
+        at = pc.index_in(words, value_set=pa.array(self.top, pa.string()))
         cell = at.fill_null(-1).to_numpy().astype(np.int32)
-        other = np.flatnonzero(cell < 0)
-        cell[other] = [self.shared(w) for w in coded.dictionary.take(pa.array(other)).to_pylist()]
-        return cell[coded.indices.to_numpy()]
+        cell[cell < 0] = self._shared(words.filter(at.is_null()))
+        return cell
+
+
+def _powers(x: int) -> np.ndarray:
+    out = np.full(HASHED, x, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+HASHED, BASE = 1 << 16, 0x9E3779B97F4A7C15  # bytes hashed at once; odd
+UP, DOWN = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
+
+
+def _hashed(words: pa.Array) -> np.ndarray:
+    """64 bits of every word: the sum of its bytes times powers of BASE by their places in the word, mixed. Sums run over
+    all words' bytes; a word's are the difference of two, moved back by where it starts."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    ends -= ends[0]
+    sums, back, total = np.zeros(len(ends), np.uint64), np.ones(len(ends), np.uint64), np.zeros(1, np.uint64)
+    for lo in range(0, len(raw), HASHED):
+        part, turn = raw[lo : lo + HASHED], lo % (1 << 64)
+        run = np.cumsum(np.concatenate([total, (part + np.uint64(1)) * (UP[: len(part)] * np.uint64(pow(BASE, turn, 1 << 64)))]))
+        i, j = np.searchsorted(ends, [lo, lo + len(part)])
+        at = ends[i:j] - lo
+        sums[i:j], back[i:j], total = run[at], DOWN[at] * np.uint64(pow(BASE, -turn, 1 << 64)), run[-1:]
+    sums[np.searchsorted(ends, len(raw)) :] = total
+    h = (sums[1:] - sums[:-1]) * back[:-1]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _bounded(weights: np.ndarray) -> bool:
+    """Whether no scores that hidden values of 1 at most make with these weights are too large or small for exp."""
+    return bool(np.abs(weights).sum(axis=-2).max() < 80)
+
+
+def _exp(z: np.ndarray, bounded: bool) -> np.ndarray:
+    """exp of tiles of scores z, which is overwritten, times any number a row; and the sum of each row, by a product of
+    a tile's shape."""
+    if not bounded:
+        z -= z.max(axis=2, keepdims=True)
+    np.exp(z, out=z)
+    return z @ np.ones((z.shape[2], 1), np.float32)
 
 
-def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log probabilities of one cell of each row of scores z, which is overwritten."""
-    z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(at)), at]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+def _picked(z: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
+    """Log probabilities of one cell of each row of tiles of scores z, which is overwritten."""
+    if not bounded:
+        z -= z.max(axis=2, keepdims=True)
+    own = z.reshape(-1, z.shape[2])[np.arange(len(at)), at]
+    return own - np.log(_exp(z, True).ravel())
 
 
-def _errors(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Probabilities of rows of scores z, which is overwritten, less 1 for the right cell."""
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(at)), at] -= 1
+def _errors(z: np.ndarray, at: np.ndarray, ok: np.ndarray, bounded: bool) -> np.ndarray:
+    """Probabilities of rows of tiles of scores z, which is overwritten, less 1 for the right cell; 0 in rows that don't
+    count."""
+    total = _exp(z, bounded)
+    total.ravel()[~ok] = np.inf
+    z /= total
+    z.reshape(-1)[(np.arange(len(at)) * z.shape[2] + at)[ok]] -= 1
     return z
 
 
-def _product(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """h @ weights, whose sums don't depend on which rows stand beside a row, as a matrix product's may: equal texts have
-    equal scores wherever they are."""
-    return np.einsum("ij,jk->ik", h, weights)
+def _order(at: np.ndarray, below: int) -> np.ndarray:
+    return np.argsort(at.astype(np.min_scalar_type(below)), kind="stable")  # of two bytes: by radix
+
+
+def _tiles(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending classes c in tiles of TILE rows of one class: the tiles' classes, their rows, and which of these count;
+    a class's last tile is filled up. Every matrix product has a tile's shape, so its sums depend neither on the number
+    of BLAS's threads nor on which rows stand beside a row: equal texts have equal scores wherever they are."""
+    first = np.flatnonzero(np.diff(c, prepend=-1))
+    size = np.diff(first, append=len(c))
+    tiles = -(-size // TILE)
+    of = np.repeat(np.arange(len(first)), tiles)
+    at = (np.arange(len(of)) - np.repeat(np.cumsum(tiles) - tiles, tiles))[:, None] * TILE + np.arange(TILE)
+    return c[first][of], first[of][:, None] + np.minimum(at, size[of][:, None] - 1), (at < size[of][:, None]).ravel()
 
 
 class Network:
@@ -124,41 +186,66 @@ class Network:
     def hidden(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return np.tanh(self.p["left"][left] + self.p["right"][right] + self.p["bias"])
 
+    def edged(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of the scores of classes and of places, each with its bias as the last row."""
+        p = self.p
+        return np.vstack([p["out"], p["out_bias"]]), np.concatenate([p["place"], p["place_bias"][:, None]], axis=1)
+
     def logp(self, left: np.ndarray, cell: np.ndarray, right: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(cell))
-        for at in range(0, len(cell), 1 << 15):
-            s = slice(at, at + (1 << 15))
-            h, (c, j) = self.hidden(left[s], right[s]), np.divmod(cell[s], self.side)
-            out[s] = _picked(_product(h, self.p["out"]) + self.p["out_bias"], c)
-            for k, rows in _groups(c):
-                out[at + rows] += _picked(_product(h[rows], self.p["place"][k]) + self.p["place_bias"][k], j[rows])
+        out, (first, place) = np.zeros(len(cell)), self.edged()
+        bounded = _bounded(first), _bounded(place)
+        for at in range(0, len(cell), 1 << 14):
+            c, j = np.divmod(cell[at : at + (1 << 14)], self.side)
+            order = _order(c, self.side)
+            k, rows, ok = _tiles(c[order])
+            rows = order[rows]
+            h = np.ones((*rows.shape, HIDDEN + 1), np.float32)
+            h[:, :, :HIDDEN] = self.hidden(left[at : at + (1 << 14)], right[at : at + (1 << 14)])[rows]
+            both = _picked(h @ first, np.repeat(k, TILE), bounded[0])
+            both += _picked(h @ place[k], j[rows.ravel()], bounded[1])
+            out[order + at] = both[ok]
         return out
 
     def step(self, left: np.ndarray, cell: np.ndarray, right: np.ndarray, state: dict) -> None:
         """One step of Adagrad on the mean cross-entropy of these positions. Cells and classes that don't occur among
         them stay as they are, so a step's cost doesn't grow with the grid."""
-        p, n, h, (c, j) = self.p, len(cell), self.hidden(left, right), np.divmod(cell, self.side)
-        d = _errors(h @ p["out"] + p["out_bias"], c)
-        change, dh = [("out", ..., h.T @ d), ("out_bias", ..., d.sum(axis=0))], d @ p["out"].T
-        for k, rows in _groups(c):
-            own = h[rows]
-            d = _errors(own @ p["place"][k] + p["place_bias"][k], j[rows])
-            change += [("place", k, own.T @ d), ("place_bias", k, d.sum(axis=0))]
-            dh[rows] += d @ p["place"][k].T
-        dh *= 1 - h * h
-        change.append(("bias", ..., dh.sum(axis=0)))
-        for side, at in (("left", left), ("right", right)):
-            order = np.argsort(at, kind="stable")
-            first = np.flatnonzero(np.diff(at[order], prepend=-1))
-            change.append((side, at[order[first]], np.add.reduceat(dh[order], first, axis=0)))
+        p, n, side = self.p, len(cell), self.side
+        order = _order(cell // side, side)
+        left, right, (c, j) = left[order], right[order], np.divmod(cell[order], side)
+        k, rows, ok = _tiles(c)
+        h = np.ones((*rows.shape, HIDDEN + 1), np.float32)
+        flat = self.hidden(left, right)
+        h[:, :, :HIDDEN] = flat[rows]
+        turned, (first, places) = h.transpose(0, 2, 1), self.edged()
+        place = places[k]
+        d = _errors(h @ first, np.repeat(k, TILE), ok, _bounded(first))
+        e = _errors(h @ place, j[rows.ravel()], ok, _bounded(places))
+        dh = d @ np.ascontiguousarray(p["out"].T)
+        dh += e @ np.ascontiguousarray(p["place"].transpose(0, 2, 1))[k]
+        dh = dh.reshape(-1, HIDDEN)[ok]
+        dh *= 1 - flat * flat
+        cuts = np.flatnonzero(np.diff(k, prepend=-1))
+        own, g = turned @ e, (turned @ d).sum(axis=0)
+        gp = np.stack([own[a:b].sum(axis=0) for a, b in zip(cuts, [*cuts[1:], len(k)], strict=True)])
+        change = [("out", ..., g[:-1]), ("out_bias", ..., g[-1]), ("bias", ..., dh.sum(axis=0)), ("place", k[cuts], gp[:, :-1]), ("place_bias", k[cuts], gp[:, -1])]
+        weights = dh.ravel().astype(float)
+        for name, at in (("left", left), ("right", right)):
+            own = np.flatnonzero(np.bincount(at))
+            few = len(own) < side * side // 4
+            at = np.searchsorted(own, at) if few else at
+            g = np.bincount((at[:, None] * HIDDEN + np.arange(HIDDEN)).ravel(), weights).reshape(-1, HIDDEN)
+            change.append((name, own, (g if few else g[own]).astype(np.float32)))
         state["t"] = state.get("t", 0) + 1
         for name, rows, g in change:
-            g /= n
+            g = g / np.float32(n)
             if name not in state:
                 state[name] = np.full_like(p[name], 1e-8)  # less, and the noise of sums would make steps
-            v = state[name][rows] + g * g
+            v = g * g
+            v += state[name][rows]
             state[name][rows] = v
-            p[name][rows] -= RATE * g / np.sqrt(v)
+            g *= np.float32(RATE)
+            g /= np.sqrt(v, out=v)
+            p[name][rows] -= g
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.p.values()])
@@ -171,13 +258,6 @@ class Network:
         return self
 
 
-def _groups(c: np.ndarray):
-    """(class, its rows) of all classes that occur."""
-    order = np.argsort(c, kind="stable")
-    for rows in np.split(order, np.flatnonzero(np.diff(c[order])) + 1) if len(c) else ():
-        yield int(c[rows[0]]), rows
-
-
 def positions(texts: pa.Array, grid: Grid) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     """Of all words of all texts: the cell on the left, its own, and on the right; and the words and their texts' ends."""
     words, ends = words_of(texts)
@@ -351,7 +431,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         return pairs.join(model.words.select(F.col("word").alias("part"), "n").hint("merge"), "part").select("block", "part", "n")
 
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, pll double, mean_logp double"
-    out = blocks.meet(picked, "text", lambda texts: words_of(texts)[0].unique(), known, _Known, finish, schema)
+    out = blocks.meet(picked, "text", lambda texts: words_of(texts)[0].unique(), known, _Known, finish, schema, at_once=TEXTS)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -347,3 +347,24 @@ def test_lm_training_is_the_same_for_tables_of_every_size():
         net, state, cell = lm_scoring.Network(8, np.ones(64)), {}, np.arange(n) % 64
         lm_scoring.learn(net, cell, cell, cell, state, lm_scoring.passes(n))
         assert state["t"] == lm_scoring.passes(n) * -(-n // lm_scoring.BATCH)
+
+
+def test_lm_words_end_before_white_space():
+    for n in range(1, 600):
+        words, ends = lm_scoring.words_of(pa.array(["b a ", "d c b a " * n]))
+        assert words.to_pylist() == ["b", "a", *["d", "c", "b", "a"] * n] and ends.tolist() == [2, 2 + 4 * n]
+
+
+def test_lm_scores_of_a_position_are_the_same_wherever_it_stands():
+    """Also where scores are too large for exp; and hashes, however many bytes are hashed at once."""
+    rng = np.random.default_rng(5)
+    left, cell, right = rng.integers(0, 64, (3, 40_000))
+    for scale in (0.3, 30):
+        net = lm_scoring.Network(8, np.arange(64.0))
+        net.p["out"], net.p["place"] = (rng.normal(0, scale, net.p[k].shape).astype(np.float32) for k in ("out", "place"))
+        every, some = net.logp(left, cell, right), rng.permutation(40_000)[:777]
+        assert np.isfinite(every).all() and (net.logp(left[some], cell[some], right[some]) == every[some]).all()
+    words = pa.array(["", "a", "\0", "\0a", "漢字", "x" * 200_000, "x" * 200_001, "y" * 65_536, "a"])
+    got = lm_scoring._hashed(words)
+    assert got[1] == got[-1] and len(set(got.tolist())) == 8
+    assert (lm_scoring._hashed(words.slice(2)) == got[2:]).all() and [lm_scoring._hashed(words.slice(i, 1))[0] for i in range(9)] == got.tolist()
