@@ -11,9 +11,11 @@ from pipelens.llm._shared import col, fresh, new_path
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those that are not like the texts of the language they were taken for, by a
-    likelihood whose threshold is set on held-out labelled rows."""
-    rows = langid.sampled(docs.where(~langid.held_out()), F.col("doc_id"))
-    return familiar.keep_known(docs, langid.train(rows), familiar.calibrate(rows))
+    likelihood whose tables and threshold are counted over all labelled rows. The network starts from a fit on a sample
+    and is trained on all of them."""
+    rows = docs.where(~langid.held_out())
+    gate, counts = familiar.calibrate_all(rows)
+    return familiar.keep_known(docs, langid.refine(rows, langid.fit(rows, F.col("doc_id")), counts), gate)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

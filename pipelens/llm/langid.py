@@ -45,6 +45,46 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _crop(text: np.ndarray, at: int, rng: np.random.Generator) -> np.ndarray:
+    """The window at a place of a text, shifted and cut to a random length."""
+    take = min(len(text), WINDOW if rng.random() < 0.4 else int(rng.integers(8, WINDOW + 1)))
+    start = min(len(text) - take, max(0, at + int(rng.integers(0, WINDOW)) - take // 2))
+    return text[start : start + take]
+
+
+def _learn(p: dict, m: dict, v: dict, step: int, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> None:
+    """The step-th step of Adam on the weighted cross-entropy of windows x of languages y; p, and the moments m and v, change."""
+    e = p["embed"][x]
+    pooled, where, shifted = [], [], {}
+    for k, w in enumerate(WIDTHS):
+        shifted[w] = np.concatenate([e[:, j : j + WINDOW] for j in range(w)], axis=2)
+        r = shifted[w] @ p[f"w{w}"] + p["bias"][k * FILTERS : (k + 1) * FILTERS]
+        where.append(r.argmax(axis=1))
+        pooled.append(np.take_along_axis(r, where[-1][:, None, :], 1)[:, 0])
+    z = np.concatenate(pooled, axis=1)
+    h = np.maximum(z, 0)
+    d = _softmax(h @ p["out"] + p["out_bias"])
+    d[np.arange(len(y)), y] -= 1
+    d *= weight[:, None]
+    g = {"out": h.T @ d, "out_bias": d.sum(0)}
+    dz = (d @ p["out"].T) * (z > 0)
+    g["bias"] = dz.sum(0)
+    ge = np.zeros_like(p["embed"])
+    for k, w in enumerate(WIDTHS):
+        dk = dz[:, k * FILTERS : (k + 1) * FILTERS]
+        seen = shifted[w][np.arange(len(y))[:, None], where[k]]
+        g[f"w{w}"] = np.einsum("bf,bfi->if", dk, seen)
+        back = (dk[:, :, None] * p[f"w{w}"].T[None]).reshape(len(y), FILTERS, w, EMBED)
+        for j in range(w):
+            np.add.at(ge, np.take_along_axis(x, where[k] + j, 1), back[:, :, j])
+    ge[0] = 0
+    g["embed"] = ge
+    for k in p:
+        m[k] = 0.9 * m[k] + 0.1 * g[k]
+        v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
+        p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+
+
 def train(rows: list[tuple[str, str]], steps: int = STEPS, batch: int = 64, seed: int = 7) -> Model | None:
     """rows: (text, language), already bounded and in a fixed order. Adam on cross-entropy over every window of every
     text, `steps` batches at least; windows are shifted and cut to random lengths so that short texts count too. None
@@ -74,40 +114,10 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, batch: int = 64, seed
             ids = order[at : at + batch]
             x = np.zeros((len(ids), reach), np.uint8)
             for r, i in enumerate(ids):
-                text = raw[row[i]]
-                take = min(len(text), WINDOW if rng.random() < 0.4 else int(rng.integers(8, WINDOW + 1)))
-                start = min(len(text) - take, max(0, int(at_window[i]) + int(rng.integers(0, WINDOW)) - take // 2))
-                x[r, :take] = text[start : start + take]
-            e = p["embed"][x]
-            pooled, where, shifted = [], [], {}
-            for k, w in enumerate(WIDTHS):
-                shifted[w] = np.concatenate([e[:, j : j + WINDOW] for j in range(w)], axis=2)
-                r = shifted[w] @ p[f"w{w}"] + p["bias"][k * FILTERS : (k + 1) * FILTERS]
-                where.append(r.argmax(axis=1))
-                pooled.append(np.take_along_axis(r, where[-1][:, None, :], 1)[:, 0])
-            z = np.concatenate(pooled, axis=1)
-            h = np.maximum(z, 0)
-            d = _softmax(h @ p["out"] + p["out_bias"])
-            d[np.arange(len(ids)), y[ids]] -= 1
-            d /= len(ids)
-            g = {"out": h.T @ d, "out_bias": d.sum(0)}
-            dz = (d @ p["out"].T) * (z > 0)
-            g["bias"] = dz.sum(0)
-            ge = np.zeros_like(p["embed"])
-            for k, w in enumerate(WIDTHS):
-                dk = dz[:, k * FILTERS : (k + 1) * FILTERS]
-                seen = shifted[w][np.arange(len(ids))[:, None], where[k]]
-                g[f"w{w}"] = np.einsum("bf,bfi->if", dk, seen)
-                back = (dk[:, :, None] * p[f"w{w}"].T[None]).reshape(len(ids), FILTERS, w, EMBED)
-                for j in range(w):
-                    np.add.at(ge, np.take_along_axis(x, where[k] + j, 1), back[:, :, j])
-            ge[0] = 0
-            g["embed"] = ge
+                own = _crop(raw[row[i]], int(at_window[i]), rng)
+                x[r, : len(own)] = own
             step += 1
-            for k in p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-                p[k] -= 0.004 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+            _learn(p, m, v, step, x, y[ids], np.full(len(ids), 1 / len(ids)), 0.004)
     return Model(langs, p["embed"], {w: p[f"w{w}"] for w in WIDTHS}, p["bias"], p["out"], p["out_bias"])
 
 
@@ -126,6 +136,51 @@ def sampled(docs: DataFrame, key: Column, text_col: str = "text", lang_col: str
     return sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
 
 
+def refine(docs: DataFrame, model: Model | None, counts: dict[str, int], text_col: str = "text", lang_col: str = "lang", batch: int = 64, rate: float = 0.001, seed: int = 13) -> Model | None:
+    """The network after training on every window of every labelled row of docs. counts: of the rows by language;
+    languages weigh the same, and those that model doesn't have are added. Every task starts from model and trains on its rows; the mean of what they end with,
+    weighted by their windows, is the network. It depends a little on how the rows are dealt to tasks."""
+    if model is None:
+        return None
+    langs = model.langs + sorted(set(counts) - set(model.langs))
+    number, new = {lang: k for k, lang in enumerate(langs)}, len(langs) - len(model.langs)
+    start = {"embed": model.embed, "bias": model.bias, "out": np.pad(model.out, ((0, 0), (0, new))), "out_bias": np.pad(model.out_bias, (0, new))} | {f"w{w}": f for w, f in model.filters.items()}
+    share = np.array([1 / counts.get(lang, 1) for lang in langs])
+    labelled = docs.where(col(text_col).isNotNull() & col(lang_col).isNotNull()).select(col(text_col).alias("text"), col(lang_col).alias("lang"))
+
+    def run(batches):
+        p, rng, step, n = {k: x.copy() for k, x in start.items()}, np.random.default_rng(seed), 0, 0
+        m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
+        for b in batches:
+            raw = [np.frombuffer(t.lower().encode("utf-8", "replace"), np.uint8) for t in b.column(0).to_pylist()]
+            wins = np.array([max(1, -(-len(r) // WINDOW)) for r in raw], np.int64)
+            row = np.repeat(np.arange(len(raw)), wins)
+            place = (np.arange(len(row)) - np.repeat(np.cumsum(wins) - wins, wins)) * WINDOW
+            y = np.array([number[k] for k in b.column(1).to_pylist()], np.int64)[row]
+            order = rng.permutation(len(row))
+            for at in range(0, len(order), batch):
+                ids = order[at : at + batch]
+                x = np.zeros((len(ids), WINDOW + max(WIDTHS) - 1), np.uint8)
+                for r, i in enumerate(ids):
+                    own = _crop(raw[row[i]], int(place[i]), rng)
+                    x[r, : len(own)] = own
+                step += 1
+                _learn(p, m, v, step, x, y[ids], share[y[ids]] / share[y[ids]].sum(), rate)
+            n += len(row)
+        if n:  # as whole numbers, whose sums don't depend on their order
+            flat = np.concatenate([p[k].ravel() for k in start])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(np.rint(flat * n * 2.0**20), n).astype(np.int64))], names=["k", "x"])
+
+    got = map_arrow(labelled, run, "k long, x long").groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").toArrow().column("x").to_numpy()
+    if not len(got):
+        return model
+    flat, at, p = got[:-1] / got[-1] / 2.0**20, 0, {}
+    for k, x in start.items():
+        p[k] = flat[at : at + x.size].reshape(x.shape)
+        at += x.size
+    return Model(langs, p["embed"], {w: p[f"w{w}"] for w in WIDTHS}, p["bias"], p["out"], p["out_bias"])
+
+
 def fit(docs: DataFrame, key: Column, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Fits on the sampled rows."""
     return train(sampled(docs, key, text_col, lang_col, sample))
