@@ -7,13 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipelens.llm._shared import col, map_arrow, materialise
+from pipelens.llm._shared import col, map_arrow, materialise, remove
 from pipelens.llm.components import components
 from pipelens.llm.simhash import fold, hashes
 
 SHINGLE = 5
 NUM, DEN = 4, 5  # the least similarity is NUM / DEN
 SHARE, FREQUENT = 16, 200_000  # one text in so many is asked for frequent hashes, of which so many at most come last
+WANTED = 27  # so many bits, at most, say which texts may be asked for
 PAIRS = 1 << 18  # of a bucket's rows, looked at at once
 
 
@@ -62,21 +63,51 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
+_two = np.arange(1 << 16, dtype=np.uint32)
+_HALF = sum((((_two >> (2 * j)) & 3) > 0).astype(np.uint8) << j for j in range(8)).astype(np.uint8)  # 16 buckets as 8
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Which buckets of the hashes' first bits a set occupies; two buckets a member at least, 64 at least."""
+    bits = max(6, (2 * len(s) - 1).bit_length())
+    full = np.zeros(1 << bits, np.uint8)
+    full[s >> np.uint64(64 - bits)] = 1
+    return np.packbits(full, bitorder="little").tobytes()
+
+
+def may_be_similar(n: np.ndarray, a: list[bytes], m: np.ndarray, b: list[bytes]) -> np.ndarray:
+    """Whether sets of n and m members with sketches a and b can be similar enough. A bucket that one occupies and the
+    other doesn't holds a member that isn't shared, so what is ruled out is certain."""
+    out = np.zeros(len(a), bool)
+    size = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for la, lb in np.unique(size, axis=0):
+        rows = np.flatnonzero((size == (la, lb)).all(axis=1))
+        x, y = (np.frombuffer(b"".join([t[i] for i in rows]), np.uint8).reshape(len(rows), -1) for t in (a, b))
+        while x.shape[1] > y.shape[1]:
+            x = _HALF[x.view("<u2")]
+        while y.shape[1] > x.shape[1]:
+            y = _HALF[y.view("<u2")]
+        both = np.minimum(n[rows] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m[rows] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+        out[rows] = (NUM + DEN) * both >= NUM * (n[rows] + m[rows])
+    return out
+
+
 def _marks(texts: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def run(batches):
         for b in batches:
-            sizes, first, fp = [], [], []
+            sizes, first, fp, bits = [], [], [], []
             for t in b.column(1).to_pylist():
                 h = hashes(t, SHINGLE)
                 fp.append(fold(h))
                 own = _set(h)
                 sizes.append(len(own))
+                bits.append(sketch(own))
                 first.append(prefix(own, often))
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary())], names=["node", "n", "fp", "prefix", "sketch"])
 
-    return map_arrow(texts, run, "node long, n int, fp long, prefix array<long>")
+    return map_arrow(texts, run, "node long, n int, fp long, prefix array<long>, sketch binary")
 
 
 def _stars(met: DataFrame) -> DataFrame:
@@ -129,15 +160,50 @@ def _others(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.repartition("h").sortWithinPartitions("h"), run, "u long, v long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes whose whole sets are similar enough."""
-    pairs, _ = materialise(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
-    wanted = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+def _hoped(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The different pairs (u, v) that sizes and sketches don't rule out."""
+
+    def test(batches):
+        for b in batches:
+            n, m = (b.column(i).to_numpy().astype(np.int64) for i in (2, 4))
+            ok = pa.array(may_be_similar(n, b.column(3).to_pylist(), m, b.column(5).to_pylist()))
+            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in b.columns[:2]], names=["u", "v"])
+
+    u = marks.select(F.col("node").alias("u"), F.col("n").alias("n"), F.col("sketch").alias("a"))
+    v = marks.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("sketch").alias("b"))
+    met = pairs.distinct().join(u, "u").join(v, "v").where((NUM + DEN) * F.least("n", "m") >= NUM * (F.col("n") + F.col("m")))
+    return map_arrow(met.select("u", "v", "n", "a", "m", "b"), test, "u long, v long")
+
+
+def _asked(nodes: DataFrame):
+    """A function that tells of an array of nodes which may be among these: all of them, and few others unless there are
+    over 2 ** WANTED / 64. By one bit for each; the driver sees 2 ** WANTED / 64 numbers at most."""
+    bits = min(WANTED, max(12, (64 * nodes.count()).bit_length()))
+    at = F.shiftrightunsigned("node", 64 - bits)
+    words = nodes.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("x")).toArrow()
+    mask = np.zeros(1 << (bits - 6), np.int64)
+    mask[words.column("w").to_numpy()] = words.column("x").to_numpy()
+
+    def asked(node: np.ndarray) -> np.ndarray:
+        at = node.view(np.uint64) >> np.uint64(64 - bits)
+        return (mask.view(np.uint64)[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+    return asked
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes whose whole sets are similar enough. Sketches rule out most others first. Texts stay
+    where they are read; only the sets of those that are asked for move."""
+    pairs, pairs_path = materialise(_hoped(pairs, marks), "pairs")
+    asked = _asked(pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct())
 
     def build(batches):
+        seen: set[int] = set()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "s"])
+            at = [i for i in np.flatnonzero(asked(b.column(0).to_numpy())).tolist() if (k := b.column(0)[i].as_py()) not in seen and not seen.add(k)]
+            if at:
+                own = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([shingle_set(t).tobytes() for t in own.column(1).to_pylist()], pa.binary())], names=["node", "s"])
 
     def test(batches):
         for b in batches:
@@ -145,10 +211,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             ok = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, z, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(ok) for c in b.columns[:2]], names=["u", "v"])
 
-    sets, _ = materialise(map_arrow(wanted, build, "node long, s binary"), "sets")
+    sets, sets_path = materialise(map_arrow(texts, build, "node long, s binary").groupBy("node").agg(F.first("s").alias("s")), "sets")
     u, v = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
     met = pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b")
-    return materialise(map_arrow(met, test, "u long, v long"), "similar")[0]
+    found, _ = materialise(map_arrow(met, test, "u long, v long"), "similar")
+    for path in (pairs_path, sets_path):
+        remove(pairs.sparkSession, path)
+    return found
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -166,27 +235,30 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", candi
 
     Similar sets share a hash of their prefixes, a fifth of their members, so texts meet there by equality and no
     similar pair is missed. In each such bucket texts are first compared with the first one; pairs that this hasn't
-    linked, directly or over others, are compared next. `candidates` makes pairs (u, v) of nodes out of the table of
+    linked, directly or over others, are compared next. What sizes and sketches (`may_be_similar`) don't rule out is
+    compared by whole sets. `candidates` makes pairs (u, v) of nodes out of the table of
     marks (node, n, fp, prefix); they are compared before all others, and what they link needs no other comparison. So copies in a large group cost one comparison a text; texts
     that share a hash but aren't similar cost one a pair, unless sizes and places rule it out.
     """
     texts = docs.select(F.xxhash64(col(text_col)).alias("node"), col(text_col).alias("text"))
-    marks = _marks(texts, frequent(texts)).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "fp", "prefix")))
+    marks = _marks(texts, frequent(texts)).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "fp", "prefix", "sketch")))
+    marks, marks_path = materialise(marks, "marks")
     if candidates:
-        marks, _ = materialise(marks, "marks")
-        linked = _verified(candidates(marks), texts)
+        linked = _verified(candidates(marks), texts, marks)
     else:
         linked = marks.sparkSession.createDataFrame([], "u long, v long")
     met = marks.select("node", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "node", "n", "pos")
-    stars, _ = materialise(_stars(met.repartition("h").sortWithinPartitions("h", "node")), "buckets")
+    stars, stars_path = materialise(_stars(met.repartition("h").sortWithinPartitions("h", "node")), "buckets")
     fits = (NUM + DEN) * F.least(F.col("n") - F.col("pos"), F.col("n0") - F.col("pos0")) >= NUM * (F.col("n") + F.col("n0"))
     pairs = stars.where(fits).select(F.col("node0").alias("u"), F.col("node").alias("v"))
-    linked = linked.unionAll(_verified(_apart(pairs, components(linked)) if candidates else pairs, texts))
+    linked = linked.unionAll(_verified(_apart(pairs, components(linked)) if candidates else pairs, texts, marks))
     comps = components(linked)
     own = stars.select("h", "node", "n", "pos").join(comps, "node", "left").select("h", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
     mixed = own.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a <> z")
-    more = _verified(_others(own.join(mixed, "h", "left_semi").select(*own.columns)), texts)
+    more = _verified(_others(own.join(mixed, "h", "left_semi").select(*own.columns)), texts, marks)
     comps = components(linked.unionAll(more))
+    for path in (marks_path, stars_path):
+        remove(docs.sparkSession, path)
     rows = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("node"))
     placed = rows.groupBy("node").agg(F.min("id").alias("least")).join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("comp"))
     smallest = placed.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from pipelens.llm import shingle_sets, simhash
 
@@ -53,3 +55,40 @@ def test_similarity_at_the_bound_and_odd_ids(spark):
     assert got == [(-1, 5), (5, 5), (5, 5), (6, 5), (7, 7)]  # 20 of 25 are shared, and 20 of 26
     assert shingle_sets.group(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first()["component_id"] is None
     assert shingle_sets.group(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sketches_rule_out_most_pairs_and_no_similar_one():
+    rng = np.random.default_rng(8)
+    a, b = [], []
+    for n in [1, 2, 5, 31, 32, 33, 64, 65, 300, 5000] * 40:
+        x = rng.integers(0, 2**64, n, np.uint64, endpoint=False)
+        other = rng.integers(0, 2**64, max(1, int(n * rng.uniform(0.5, 2))), np.uint64)
+        keep = x[rng.random(n) < rng.choice([0, 0.7, 0.9, 1])]
+        y = np.concatenate([keep, other[: max(1, int(n * rng.choice([0, 0.05, 0.12, 0.5])))]])
+        a, b = a + [np.unique(x), np.unique(x)], b + [np.unique(y), np.unique(other)]
+    sizes = [np.array([len(s) for s in side]) for side in (a, b)]
+    got = shingle_sets.may_be_similar(sizes[0], [shingle_sets.sketch(s) for s in a], sizes[1], [shingle_sets.sketch(s) for s in b])
+    true = np.array([shingle_sets.similar(x, y) for x, y in zip(a, b, strict=True)])
+    assert true.sum() > 100 and (got | ~true).all()
+    far = np.array([len(np.intersect1d(x, y)) < 0.6 * len(x) and len(x) >= 300 for x, y in zip(a, b, strict=True)])
+    assert far.sum() > 80 and got[far].mean() < 0.02
+
+
+def test_texts_are_not_shuffled_to_be_compared(spark, monkeypatch):
+    """Only texts of pairs that sketches don't rule out become sets, each once."""
+    rng, made, known = np.random.default_rng(9), [], shingle_sets.materialise
+
+    def counted(df, tag):
+        out = known(df, tag)
+        made.append((tag, out[0].count()))
+        return out
+
+    monkeypatch.setattr(shingle_sets, "materialise", counted)
+    word = lambda k: " ".join(f"w{i}" for i in rng.integers(0, 5000, k))
+    shared = word(60)
+    texts = [f"{word(100)} {shared} {word(100)}" for _ in range(60)]
+    texts += [texts[0] + " more", texts[0], texts[1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingle_sets.group(docs).collect()}
+    assert got == {i: {60: 0, 61: 0, 62: 1}.get(i, i) for i in range(63)}
+    assert sum(n for tag, n in made if tag == "pairs") < 20 and sum(n for tag, n in made if tag == "sets") < 30
