@@ -131,19 +131,20 @@ def _stars(met: DataFrame) -> DataFrame:
 
 
 def _others(rows: DataFrame) -> DataFrame:
-    """Of rows (h, node, n, pos, comp) by h: the possible pairs (u, v) with the same hash and different components."""
+    """Of rows (h, node, n, pos, comp, sketch) by h: the pairs (u, v) with the same hash and different components that
+    neither sizes and places nor sketches rule out."""
 
     def run(batches):
-        now = [np.zeros(0, np.int64)] * 5
+        now = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, object)]
         for b in batches:
-            now = [np.concatenate([x, c.to_numpy()]) for x, c in zip(now, b.columns, strict=True)]
+            now = [np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip(now, b.columns, strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
             yield from out([x[:cut] for x in now])
             now = [x[cut:] for x in now]
         yield from out(now)
 
     def out(now):
-        h, node, n, pos, comp = now
+        h, node, n, pos, comp, bits = now
         cuts = np.flatnonzero(np.diff(h)) + 1
         for s, e in zip([0, *cuts], [*cuts, len(h)], strict=True):
             if e - s < 2 or (comp[s:e] == comp[s]).all():
@@ -154,8 +155,12 @@ def _others(rows: DataFrame) -> DataFrame:
                 ok = (comp[a, None] != comp[None, z]) & (node[a, None] < node[None, z])
                 ok &= possible(n[a, None], pos[a, None], n[None, z], pos[None, z])
                 x, y = np.nonzero(ok)
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[x + i]), pa.array(node[y + s])], names=["u", "v"])
+                most = max(1, (8 << 20) // max(map(len, bits[s:e])))
+                for k in range(0, len(x), most):
+                    u, v = x[k : k + most] + i, y[k : k + most] + s
+                    left = may_be_similar(n[u].astype(np.int64), bits[u].tolist(), n[v].astype(np.int64), bits[v].tolist())
+                    if left.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(node[u[left]]), pa.array(node[v[left]])], names=["u", "v"])
 
     return map_arrow(rows.repartition("h").sortWithinPartitions("h"), run, "u long, v long")
 
@@ -255,7 +260,8 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", candi
     comps = components(linked)
     own = stars.select("h", "node", "n", "pos").join(comps, "node", "left").select("h", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
     mixed = own.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a <> z")
-    more = _verified(_others(own.join(mixed, "h", "left_semi").select(*own.columns)), texts, marks)
+    rows = own.join(mixed, "h", "left_semi").join(marks.select("node", "sketch"), "node").select(*own.columns, "sketch")
+    more = _verified(_others(rows), texts, marks)
     comps = components(linked.unionAll(more))
     for path in (marks_path, stars_path):
         remove(docs.sparkSession, path)
