@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pipelens.functions.expr import let
 from pipelens.functions.hashing import MODULUS, STEPS, fractions, gaussian, draw
 from pipelens.sources.readers import RID
 
@@ -48,12 +49,16 @@ def typos(c: Column, rid: Column, seed: int = 0, **_) -> Column:
     """Look-alikes first; then one in sixteen characters is doubled, one in sixteen dropped, one in sixteen replaced by
     the next letter, by a hash of row and place."""
     chars = F.split(F.translate(c, *TYPING), "")
-    def one(x: Column, i: Column) -> Column:
-        h = F.pmod(F.pmod(draw(rid, seed, 3) + i.cast("long") * F.lit(2654435), F.lit(MODULUS)) * F.lit(STEPS[0]) + F.lit(12345), F.lit(MODULUS))
-        h = F.pmod(F.floor(h / 65536), F.lit(16))
-        return F.when(h == 0, F.concat(x, x)).when(h == 1, F.lit("")).when((h == 2) & x.rlike("^[a-y]$"), F.char(F.ascii(x) + 1)).otherwise(x)
+    # the generator's step of draw + i * 2654435, by powers of two: bits 16 to 19 of start + i * stride
+    start, stride = draw(rid, seed, 3) * F.lit(STEPS[0]) + F.lit(12345), F.lit(2654435 * STEPS[0] % MODULUS)
 
-    return F.array_join(F.transform(chars, one), "")
+    def one(x: Column, h: Column) -> Column:
+        return F.when(h > 2, x).when(h == 0, F.concat(x, x)).when(h == 1, F.lit("")).when(x.between("a", "y"), F.char(F.ascii(x) + 1)).otherwise(x)
+
+    def all_of(first: Column) -> Column:
+        return F.array_join(F.transform(chars, lambda x, i: one(x, F.shiftright(first + i.cast("long") * stride, 16).bitwiseAND(15))), "")
+
+    return let(start, all_of)
 
 
 CORRUPTIONS: dict[str, Callable] = {"scaling": scaling, "missing_values": missing, "broken_characters": broken_characters, "gaussian_noise": noise, "categorical_shift": categorical_shift, "typos": typos}
