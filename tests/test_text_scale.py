@@ -16,6 +16,16 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_count_vectorizer_counts_turns_of_one_key_together(spark, tmp_path):
+    rows = [(1, 1, "ab ab cd"), (1, 1, "ab ef"), (1, 2, None), (2, 1, "x"), (None, 1, "ab ab"), (3, 2000, "gh gh gh"), (5, 0, "ij")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    df = catalogue.QUERIES["count_vectorizer"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, df.collect()), key=key) == sorted(db.execute(catalogue.ORACLE["count_vectorizer"]).fetchall(), key=key)
+
+
 def test_typos_draw_once_a_row(spark):
     texts = ["", "the bone of a goat", "naïve 🙂 azAZ" * 40, None]
     df = spark.createDataFrame(list(enumerate(texts)), f"{RID} long, s string")
