@@ -26,6 +26,24 @@ def test_count_vectorizer_counts_turns_of_one_key_together(spark, tmp_path):
     assert sorted(map(tuple, df.collect()), key=key) == sorted(db.execute(catalogue.ORACLE["count_vectorizer"]).fetchall(), key=key)
 
 
+def test_idf_table(spark):
+    texts = {i: " ".join(["all"] * (i % 3) + [f"w{i % 7}", f"own{i}"]) for i in range(2000)} | {2000: "", 2001: "? !"}
+    df = features.TermCounts(["text"]).apply(spark.createDataFrame(list(texts.items()), "id long, text string"))
+    words = {i: Counter(x for x in s.split() if len(x) > 1) for i, s in texts.items()}
+    assert {r["id"]: {x["term"]: x["n"] for x in r["counts"]} for r in df.collect()} == words
+    idf = {w: log((1 + len(texts)) / (1 + n)) + 1 for w, n in Counter(w for c in words.values() for w in c).items()}
+    made = features.TermIdf().fit(df)
+    assert {r["term"]: r["idf"] for r in made.idf.collect()} == pytest.approx(idf)
+
+
+@pytest.mark.parametrize("name", ["tfidf_idf_values"])
+def test_vocabulary_stays_a_table(spark, sf, name):
+    """No list of words from the driver, and no step's vector of the vocabulary's length in the plan."""
+    df = catalogue.QUERIES[name](spark, sf)
+    assert "LogicalRDD" not in plan(df) and "counts" not in dict(df.dtypes) and "ElementwiseProduct" not in plan(df) and "norm(" not in plan(df)
+    assert "<lambda>" not in plan(df)
+
+
 def test_typos_draw_once_a_row(spark):
     texts = ["", "the bone of a goat", "naïve 🙂 azAZ" * 40, None]
     df = spark.createDataFrame(list(enumerate(texts)), f"{RID} long, s string")
