@@ -26,7 +26,7 @@ def test_count_vectorizer_counts_turns_of_one_key_together(spark, tmp_path):
     assert sorted(map(tuple, df.collect()), key=key) == sorted(db.execute(catalogue.ORACLE["count_vectorizer"]).fetchall(), key=key)
 
 
-def test_idf_table(spark):
+def test_idf_table_and_weights(spark):
     texts = {i: " ".join(["all"] * (i % 3) + [f"w{i % 7}", f"own{i}"]) for i in range(2000)} | {2000: "", 2001: "? !"}
     df = features.TermCounts(["text"]).apply(spark.createDataFrame(list(texts.items()), "id long, text string"))
     words = {i: Counter(x for x in s.split() if len(x) > 1) for i, s in texts.items()}
@@ -34,9 +34,10 @@ def test_idf_table(spark):
     idf = {w: log((1 + len(texts)) / (1 + n)) + 1 for w, n in Counter(w for c in words.values() for w in c).items()}
     made = features.TermIdf().fit(df)
     assert {r["term"]: r["idf"] for r in made.idf.collect()} == pytest.approx(idf)
+    assert {r["id"]: r["square"] for r in made.squares(df, "id").collect()} == pytest.approx({i: sum((n * idf[w]) ** 2 for w, n in c.items()) for i, c in words.items()})
 
 
-@pytest.mark.parametrize("name", ["tfidf_idf_values"])
+@pytest.mark.parametrize("name", ["tfidf_idf_values", "tfidf_weights"])
 def test_vocabulary_stays_a_table(spark, sf, name):
     """No list of words from the driver, and no step's vector of the vocabulary's length in the plan."""
     df = catalogue.QUERIES[name](spark, sf)
